@@ -1,4 +1,7 @@
 """All queries of the core, by name."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from codelake.plans import code_queries, usage_queries  # noqa: F401
+from codelake.registry import OPS
+
+QUERIES = {k: o.run for k, o in OPS.items()}
+ORACLE = {k: o.sql for k, o in OPS.items() if o.sql}
