@@ -140,12 +140,19 @@ def fold(sentence: str) -> str:
     """Canonical words of a sentence, each between single blanks."""
     t = _plain(sentence)
     if _SPREAD.search(t):
-        t = _SPREAD.sub(lambda m: re.sub(r"[ .\-_*·]", "", m[0]), t)
+        t = _SPREAD.sub(_joined, t)
     if _ODD.search(t):
         t = _ODD.sub(_straight, t)
     return " " + _RUNS.sub(r"\1", _GAPS.sub(" ", t).replace("l", "i")).strip() + " "
 
 
+def _joined(m: re.Match[str]) -> str:
+    """Letters that stand apart as one word; a first ``a`` or ``i`` is a word of its own if the rest is one of the lexicon."""
+    w = re.sub(r"[ .\-_*·]", "", m[0])
+    rest = w[1:].translate(_FIGURES)
+    return f"{w[0]} {rest}" if w[0] in "ai" and len(w) > 3 and rest in _automaton()[1].get((len(rest), rest[0]), ()) else w
+
+
 def _straight(m: re.Match[str]) -> str:
     w = m[0]
     if "*" in w:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelake.batches import rows
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
@@ -20,24 +19,6 @@ def language(column: str | Column = "language") -> Column:
     return F.nullif(F.lower(F.trim(F.regexp_replace(c, r"^[\s.]+|[\s.]+$", ""))), F.lit(""))
 
 
-def rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """Runs ``fn`` on batches of columns as Python lists; it returns the columns of ``schema``.
-
-    Stays on the partitions of ``df``: no shuffle, and no pandas in the workers.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    out = to_arrow_schema(_parse_datatype_string(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
-            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
-
-    return df.mapInArrow(run, schema)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
 
@@ -53,3 +34,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+__all__ = ["checkpointed", "language", "rows", "table"]

@@ -35,7 +35,7 @@ def _words(text: str) -> str:
 
 def _side_by_side(before: str, after: str, gap: str = r"[ \t]+") -> re.Pattern[str]:
     """An operand followed by a name, where neither word is one of the language's own."""
-    return re.compile(rf"(?<![\w$.@#])(?!{_words(before)}\b)[A-Za-z_$][\w$]*{gap}(?!{_words(after)}\b)[A-Za-z_$]")
+    return re.compile(rf"(?<![\w$.@#'])(?!{_words(before)}\b)[A-Za-z_$][\w$]*{gap}(?!{_words(after)}\b)[A-Za-z_$]")
 
 
 # Fixed words of the languages: those that may stand before a name, and those that may follow one.
@@ -121,7 +121,7 @@ _RB_OPEN = re.compile(r"(?:^|;|=|\(|\bthen\b|\|\||&&|<<|\breturn\b|\belse\b)[ \t
 _RB_LOOP = re.compile(r"^[ \t]*(?:while|until|for)\b[^\n]*\bdo[ \t]*\r?$", re.M)
 _RB_ENDLESS = re.compile(r"^[ \t]*def[ \t]+[\w.?!]+(?:\([^\n]*\))?[ \t]*=[ \t]", re.M)
 _RB_END = re.compile(r"(?<![\w.@$:])end\b(?![?!:\w])")
-_RB_NOT = re.compile(r"^\s*#include|^\s*\}\s*else\b|\)\s*(?:->[^:\n]*)?:[ \t]*\r?$|^\s*\d+[ \t]*,|^\s*(?:const|let|var|func|fn|public|private|package|import|using|fun|val)[ \t]+(?!def\b|attr|class)\w[^\n]*[;{=][ \t]*\r?$|^\s*create\s+table\b|:=|;[ \t]*\r?\n[ \t]*\}|^\s*(?:func|fn|fun|pub)[ \t]+\S|^\s*(?:static|long|int|void|auto|bool|std|use|using)\b[^\n]*[{;][ \t]*$|^\s*(?:insert\s+into|create\s+(?:view|index|unique|or|role|user))\b", re.M | re.I)
+_RB_NOT = re.compile(r"^\s*namespace\b|^\s*class\s+\w+\s*:(?!:)|^\s*\}\s*else\b|\)\s*(?:->[^:\n]*)?:[ \t]*\r?$|^\s*\d+[ \t]*,|^\s*(?:const|let|var|func|fn|public|private|package|import|using|fun|val)[ \t]+(?!def\b|attr|class)\w[^\n]*[;{=][ \t]*\r?$|^\s*create\s+table\b|:=|;[ \t]*\r?\n[ \t]*\}|^\s*(?:func|fn|fun|pub)[ \t]+\S|^\s*(?:static|long|int|void|auto|bool|std|use|using)\b[^\n]*[{;][ \t]*$|^\s*(?:insert\s+into|create\s+(?:view|index|unique|or|role|user))\b", re.M | re.I)
 
 
 def _reduced(language: str, masked: str) -> tuple[str, list[str]] | None:

@@ -17,8 +17,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Maximal runs of letters and digits in lower case."""
-    return [w.lower() for w in WORD.findall(text)] if text else []
+    """Maximal runs of letters and digits, case folded."""
+    return [w.casefold() for w in WORD.findall(text)] if text else []
 
 
 def running_hashes(codes: np.ndarray, k: int) -> np.ndarray:
