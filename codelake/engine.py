@@ -70,9 +70,10 @@ class Engine:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         spark.dataSource.register(CodeTree)
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
     def files(self, path: str, scan_id: str | None = None) -> DataFrame:
-        r = self.spark.read.format("codetree").option("path", path)
+        r = self.spark.read.format("codetree").option("path", path).option("pushFilters", "true")
         return (r.option("scanId", scan_id) if scan_id else r).load()
 
     def scan(self, path: str, scan_id: str | None = None) -> Scan:

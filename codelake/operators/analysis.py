@@ -135,6 +135,8 @@ def parameters(code: Column, lang: Column) -> Column:
     masked = raw
     for _ in range(4):  # commas within brackets, from the inside outwards
         masked = F.regexp_replace(masked, r"([\[({<][^\[\](){}<>,]*),(?=[^\[\](){}<>]*[\])}>])", "$1\u0001")
+    for _ in range(4):  # and after a bracket that stays open, as the list ends at the first closing parenthesis
+        masked = F.regexp_replace(masked, r"([\[({<][^\])}>,]*),(?=[^\])}>]*$)", "$1\u0001")
     parts = F.filter(F.transform(F.split(masked, ","), lambda p: F.trim(F.regexp_replace(F.replace(p, F.lit("\u0001"), F.lit(",")), r"\s+", " "))), lambda p: (p != "") & ~((lang == "python") & p.isin("self", "cls")))
 
     def one(p: Column) -> Column:

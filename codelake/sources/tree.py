@@ -74,7 +74,7 @@ class CodeTree(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> CodeTreeReader:
-        return CodeTreeReader(self.options)
+        return (PushingReader if self.options.get("pushFilters") == "true" else CodeTreeReader)(self.options)
 
     def simpleStreamReader(self, schema) -> CodeTreeStream:
         return CodeTreeStream(self.options)
@@ -86,7 +86,7 @@ class Chunk(InputPartition):
 
 
 class CodeTreeReader(DataSourceReader):
-    """Lists on the driver and reads in tasks of FILES_A_TASK files; a filter on language cuts the list."""
+    """Lists on the driver and reads in tasks of FILES_A_TASK files."""
 
     def __init__(self, options: dict):
         self.root = options["path"]
@@ -94,12 +94,6 @@ class CodeTreeReader(DataSourceReader):
         self.skip = tuple(options["skipDirs"].split(",")) if "skipDirs" in options else SKIP
         self.only: str | None = None
 
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("language",):
-                self.only = f.value
-            yield f
-
     def partitions(self) -> list[Chunk]:
         paths = [p for p in listing(self.root, self.skip) if self.only is None or LANGUAGE_OF.get(ending_of(p)) == self.only]
         return [Chunk(paths[i : i + FILES_A_TASK]) for i in range(0, len(paths), FILES_A_TASK)] or [Chunk([])]
@@ -111,6 +105,16 @@ class CodeTreeReader(DataSourceReader):
                 yield row
 
 
+class PushingReader(CodeTreeReader):
+    """Takes part in filter pushdown, which spark.sql.python.filterPushdown.enabled has to allow."""
+
+    def pushFilters(self, filters: list[Filter]):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("language",):
+                self.only = f.value
+            yield f
+
+
 class CodeTreeStream(SimpleDataSourceStreamReader):
     """Files changed since the last offset, which is the latest time of change seen."""
 
