@@ -54,7 +54,7 @@ _LOOKS = dict(zip("аеорсухіјѕԁһӏвкмнтгпԛԝαβγεζηικ
 _FIGURES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "+": "t", "!": "i", "|": "i", "€": "e"})
 _ZERO_WIDTH = dict.fromkeys(map(ord, "​‌‍⁠﻿­᠎"), None)
 _SPREAD = re.compile(r"(?<![^\W_])([^\W_](?:([ .\-_*·])[^\W_])(?:\2[^\W_])+)(?![^\W_])")
-_ODD = re.compile(r"(?<![\w@$+!|€*])(?=[a-z0-9@$+!|€*]*[a-z])(?=[a-z@$+!|€*]*[0-9@$+|€*]|[a-z]*![a-z])[a-z0-9@$+!|€*]+")
+_ODD = re.compile(r"(?<![\w@$+!|€*])(?=[a-z0-9@$+!|€*]*[a-z])(?=[a-z@$+!|€*]*[0-9@$+|€*]|[a-z]*![a-z])[a-z0-9@$+!|€*]+|(?<![\w@$+!|€*])(?=[0-9]*[@$+|€])[0-9@$+!|€]{4,}(?![\w@$+!|€*])")
 _GAPS = re.compile(r"[\W_]+")
 _RUNS = re.compile(r"(.)\1+")
 _MIXED = re.compile(r"(?=.*[a-z])(?=.*[0-9@$+!|€])")
@@ -158,7 +158,7 @@ def _straight(m: re.Match[str]) -> str:
     if "*" in w:
         inner = w.strip("*")
         w = inner if inner.isalpha() else _masked(w, _automaton()[1])
-    if _MIXED.match(w) and not _USER.match(w):
+    if (_MIXED.match(w) or not w.isalnum()) and "*" not in w and not _USER.match(w):
         w = (w.rstrip("!|") or w).translate(_FIGURES)
     return w
 

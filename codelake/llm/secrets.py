@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from codelake.llm.common import rows
 
 # Fixed words in the name of what holds a credential, and in names of what never does.
-_SECRET_NAME = re.compile(r"passw(?!ord_?(?:min|max|len|field|label|hint|reset|policy|rule|strength|input|column))|(?:^|_)pwd|(?:^|_)pass(?:$|_)|secret(?!_?(?:column|field|label|name|hint|path|ref))|api_?key|access_?key|auth_?token|bearer|signing_?key|private_?key|encryption_?key|master_?key|credential|client_?key|(?:auth|access|refresh|session|deploy|bot|user|api|id)_token|authorization|(?:^|_)auth(?:$|_)|passphrase|smtp_?pass|token$|x_api_key|storage_?key|account_?key|license_?key")
+_SECRET_NAME = re.compile(r"passw|(?:^|_)pwd|(?:^|_)pass(?:$|_)|secret|api_?key|access_?key|auth_?token|bearer|signing_?key|private_?key|encryption_?key|master_?key|credential|client_?key|(?:auth|access|refresh|session|deploy|bot|user|api|id)_token|authorization|(?:^|_)auth(?:$|_)|passphrase|smtp_?pass|token$|x_api_key|storage_?key|account_?key|license_?key")
 _PLAIN_NAME = re.compile(r"check_?sum|sha_?\d*(?:$|_)|(?:^|_)md5|digest|etag|commit|trace|revision|(?:^|_)rev(?:$|_)|(?:^|_)hash|integrity|public_?key|verify_?key|fingerprint|uuid|guid|request_?id|span_?id|build_?id|(?:^|_)nonce|icon|image|img|png|jpe?g|svg|logo|font|avatar|thumb|(?:min|max)_?len|length|_ttl|label|hint|field|column|placeholder|schema|version")
-_PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|-+|_+|change_?me\w*|placeholder|replace_?me\w*|your[-_].*|my[-_](?:secret|token|password|key)|<.*>|\$\{.*\}?|\$\(.*|\$[A-Z_]+|\{\{.*|%[\w-]+%|#\{.*|todo\w*|example\w*|dummy\w*|fake\w*|test\w*|sample\w*|none|null|nil|undefined|true|false|password\d*|passwd|secret|token|api[-_ ]?key|client[-_]?secret|username|user|admin|default|redacted|hidden|fill[-_]?in|insert\w*|(?:process\.)?env\b.*|os\.environ.*|getenv.*|vault\b.*|secrets?manager.*|ssm:.*|kms:.*|arn:.*|env:.*|@\w+@|redacted.*)$", re.I)
+_PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|-+|_+|change_?me\w*|placeholder|replace_?me\w*|your[-_].*|my[-_](?:secret|token|password|key)|<.*>|\$\{.*\}?|\$\(.*|\$[A-Z_]+|\{\{.*|%[\w-]+%|#\{.*|(?:todo|example|dummy|fake|test|sample)(?:[-_ ]?(?:key|token|secret|password|passwd|pwd|pass|value|string))?\d{0,3}|none|null|nil|undefined|true|false|password\d*|passwd|secret|token|api[-_ ]?key|client[-_]?secret|username|user|admin|default|redacted|hidden|fill[-_]?in|insert[-_]\w*|(?:process\.)?env\b.*|os\.environ.*|getenv.*|vault\b.*|secrets?manager.*|ssm:.*|kms:.*|arn:.*|env:.*|@\w+@|redacted.*)$", re.I)
 _REFERENCE = re.compile(r"\$\{|\{\{|#\{|%\w+%|process\.env|os\.environ|getenv|vault|ENV\[|System\.getenv|secretsmanager|secretKeyRef|<%=")
 
 # Fixed prefixes of tokens that services issue.
@@ -26,7 +26,7 @@ _NAMED = re.compile(r"(?<![\w$.-])(?P<name>(?=[\d$.-]*[A-Za-z_])[\w$.]++(?:-[\w$
 _QUOTED = re.compile(r"(?P<q>[\"'`])(?P<value>[^\"'`\s\\]{8,400})(?P=q)")
 _JOINED = re.compile(r"(?P<q>[\"'`])(?P<a>[^\"'`\s\\]{3,400})(?P=q)(?P<more>(?:\s*(?:\+|\.|<>|~|\|\|)\s*(?P=q)[^\"'`\s\\]{1,400}(?P=q))+)")
 _CALL = re.compile(r"\b(?:log_?in|connect|open_?session|authenticate|auth|sign_?in|bind|set_?password|basic_?auth)\s*\(\s*[\"'`][^\"'`\s]+[\"'`]\s*,\s*[\"'`](?P<value>[^\"'`\s]{6,400})[\"'`]", re.I)
-_BEARER = re.compile(r"\b(?:Bearer|Basic|Token)\s+(?P<value>[^\s\"'`<>{}$%]{8,400})(?=[\"'`\s]|$)")
+_BEARER = re.compile(r"\b(?:Bearer|Basic|Token)\s+(?P<value>[^\s\"'`<>{}$]{8,400})(?=[\"'`\s]|$)")
 _QUERY = re.compile(r"[?&](?:access_token|api_?key|token|auth|key|password|secret|client_secret|sig)=(?P<value>[^\s\"'`&<>{}$]{8,400})", re.I)
 _SQL_PW = re.compile(r"\b(?:PASSWORD|IDENTIFIED\s+BY)\s+'(?P<value>[^'\s]{6,400})'", re.I)
 _COMMENT = re.compile(r"(?<![\w.-])(?P<name>[A-Za-z]\w*+(?:[.-]\w++)*+)\s*(?:\bwas\b|\bis\b|->|:|=)\s*(?P<value>[^\s\"'`,;()]{8,400})(?=[\s,;)]|$)")
@@ -42,7 +42,7 @@ _HEX = re.compile(r"^(?:0x)?[0-9a-fA-F]+$")
 _B64 = re.compile(r"^[A-Za-z0-9+/_-]+={0,2}$")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 _WORDY = re.compile(r"^(?:[a-z]+|[A-Z][a-z]+|[A-Z]+)(?:[-_./: ]?(?:[a-z]+|[A-Z][a-z]+|[A-Z]+))*\d{0,3}$")
-_PATHY = re.compile(r"^(?:[./~]|[A-Za-z]:\\|https?://|[\w-]+(?:/[\w.-]+)+$|[\w-]+\.[a-z]{2,4}$|\d+(?:\.\d+)+$|\d{4}-\d\d)")
+_PATHY = re.compile(r"^(?:[./~]?[a-z0-9_.-]*(?:/[a-z0-9_.-]+)+/?$|[.~]/|[A-Za-z]:\\|https?://|[\w-]+\.[a-z]{2,4}$|\d+(?:\.\d+)+$|\d{4}-\d\d)")
 
 
 def entropy(value: str) -> float:
