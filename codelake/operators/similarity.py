@@ -1,13 +1,21 @@
-"""Near-duplicate blocks: bags of words, MinHash signatures from md5, bands, exact bag similarity."""
+"""Near-duplicate blocks: bags of words, MinHash bands, exact bag similarity; and the md5 signature."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from hashlib import blake2b, md5
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelake.batches import rows
 from codelake.functions.text import tokens
+from codelake.operators.graph import cut_lineage
 
-HASHES, BAND_ROWS = 64, 4
+HASHES = 64  # coordinates of the md5 signature
+BANDS, BAND_ROWS = 48, 6
 
 
 def bags(texts: DataFrame, least: int = 5) -> DataFrame:
@@ -27,37 +35,87 @@ def representatives(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return t.join(members.filter("id = rep").select("id"), "id", "left_semi").select("id", "source_code"), members
 
 
-def signatures(bag: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """(id, i, value): MinHash coordinate i is the least of the first 32 bits of md5("i:token").
+_WORD = re.compile(r"[a-zA-Z_]\w+")
+KNOWN = 100_000  # words whose hashes a task keeps; beyond that it starts anew
+
+
+def _word_hashes(word: str, hashes: int) -> np.ndarray:
+    return np.array([int(md5(f"{i}:{word}".encode()).hexdigest()[:8], 16) for i in range(hashes)], np.int64)
 
-    Each word of the vocabulary is hashed once, whatever number of texts holds it.
-    """
-    vocabulary = bag.select("token").distinct()
-    values = F.array(*(F.conv(F.substring(F.md5(F.concat(F.lit(f"{i}:"), F.col("token"))), 1, 8), 16, 10).cast("long") for i in range(hashes)))
-    hashed = vocabulary.select("token", values.alias("v"))
-    least = [F.min(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(hashes)]
-    return bag.select("id", "token").join(hashed, "token").groupBy("id").agg(*least).select("id", F.posexplode(F.array(*(F.col(f"m{i}") for i in range(hashes)))).alias("i", "value"))
 
+_RNG = np.random.default_rng(11)
+_ODD = _RNG.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+_ADD = _RNG.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
 
-def candidates(signature: DataFrame, rows: int = BAND_ROWS) -> DataFrame:
-    """(a, b): texts that agree in all rows of a band, a < b."""
-    band = signature.groupBy("id", F.floor(F.col("i") / rows).alias("band")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda s: s["value"]), "-").alias("key")).select("id", F.xxhash64("band", "key").alias("key"))
-    left, right = band.select("key", F.col("id").alias("a")), band.select("key", F.col("id").alias("b"))
-    return left.join(right, "key").filter("a < b").select("a", "b").distinct()
 
+def band_keys(elements: np.ndarray) -> np.ndarray:
+    """A key for each band of the MinHash of a set of 64-bit numbers; a pair at 0.75 misses all bands with a chance of 8e-5."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(elements), 512):  # in pieces, so a long text takes no more memory
+        np.minimum(least, (((elements[at : at + 512, None] * _ODD) + _ADD) >> np.uint64(16)).min(axis=0), out=least)
+    key = np.zeros(BANDS, np.uint64)
+    for r in range(BAND_ROWS):
+        key = (key ^ least.reshape(BANDS, BAND_ROWS)[:, r]) * np.uint64(0x9FB21C651E98DF25)
+        key ^= key >> np.uint64(32)
+    return ((np.arange(BANDS, dtype=np.uint64) << np.uint64(48)) | (key >> np.uint64(16))).astype(np.int64)
 
-def verified(pairs: DataFrame, bag: DataFrame, threshold: float = 0.75) -> DataFrame:
+
+def sketches(texts: DataFrame, hashes: int = HASHES, least: int = 5) -> DataFrame:
+    """(id, total, signature, elements, keys) of each text of at least ``least`` words; null texts have none.
+
+    Coordinate i of the signature is the least of the first 32 bits of
+    md5("i:word") over the text's words; a task hashes each word of its
+    vocabulary once. ``elements`` stands for the bag: one number for each word
+    and occurrence, so the bag similarity is that of the sets of numbers, and
+    ``keys`` are the band keys of that set. Nothing is shuffled.
+    """
+    known: dict[str, np.ndarray] = {}
+
+    def run(b: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {k: [] for k in ("id", "total", "signature", "elements", "keys")}
+        for i, t in zip(b["id"], b["source_code"], strict=True):
+            words = [w.lower() for w in _WORD.findall(t)] if t else []
+            if len(words) < least:
+                continue
+            counts = Counter(words)
+            if len(known) > KNOWN:
+                known.clear()
+            for w in counts if hashes else ():
+                if w not in known:
+                    known[w] = _word_hashes(w, hashes)
+            out["id"].append(i)
+            out["total"].append(len(words))
+            out["signature"].append(np.min([known[w] for w in counts], axis=0) if hashes else [])
+            e = np.array([int.from_bytes(blake2b(f"{k}:{w}".encode(), digest_size=8).digest(), "little") for w, n in counts.items() for k in range(n)], np.uint64)
+            out["elements"].append(e.astype(np.int64))
+            out["keys"].append(band_keys(e))
+        return out
+
+    return rows(texts.select("id", "source_code"), run, "id long, total int, signature array<long>, elements array<long>, keys array<long>")
+
+
+def signatures(sketch: DataFrame, first: int = HASHES) -> DataFrame:
+    """(id, i, value): the first coordinates of each signature."""
+    return sketch.select("id", F.posexplode(F.slice("signature", 1, first)).alias("i", "value"))
+
+
+def candidates(sketch: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """(a, b): texts that share a band key and whose sizes allow the threshold, a < b."""
+    band = sketch.select("id", "total", F.explode("keys").alias("key"))
+    left, right = band.select("key", F.col("id").alias("a"), F.col("total").alias("ta")), band.select("key", F.col("id").alias("b"), F.col("total").alias("tb"))
+    return left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.least("ta", "tb") >= threshold * F.greatest("ta", "tb"))).select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, sketch: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(a, b, similarity): candidate pairs whose sum of lesser over sum of greater counts reaches the threshold."""
-    packed = bag.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", F.col("n").cast("int")))).alias("m"), F.first("total").alias("t"))
-    p = pairs.join(packed.select(F.col("id").alias("a"), F.col("m").alias("ma"), F.col("t").alias("ta")), "a").join(packed.select(F.col("id").alias("b"), F.col("m").alias("mb"), F.col("t").alias("tb")), "b")
-    fits = F.least("ta", "tb") >= threshold * F.greatest("ta", "tb")
-    inner = F.aggregate(F.map_values(F.map_zip_with("ma", "mb", lambda k, x, y: F.least(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))))), F.lit(0), lambda s, v: s + v)
-    s = p.filter(fits).withColumn("inner_n", inner).withColumn("similarity", F.col("inner_n") / (F.col("ta") + F.col("tb") - F.col("inner_n")))
+    side = lambda n: sketch.select(F.col("id").alias(n), F.col("elements").alias(f"e{n}"), F.col("total").alias(f"t{n}"))
+    p = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("inner_n", F.size(F.array_intersect("ea", "eb")))
+    s = p.withColumn("similarity", F.col("inner_n") / (F.col("ta") + F.col("tb") - F.col("inner_n")))
     return s.filter(F.col("similarity") >= threshold).select("a", "b", F.round("similarity", 3).alias("similarity"))
 
 
 def duplicate_pairs(texts: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """(members, links): classes of equal texts, and links between class representatives found by bands and verified exactly."""
     reps, members = representatives(texts)
-    bag = bags(reps)
-    return members, verified(candidates(signatures(bag)), bag, threshold)
+    sketch = cut_lineage(sketches(reps, 0))
+    return members, verified(candidates(sketch, threshold), sketch, threshold)

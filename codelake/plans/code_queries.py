@@ -222,7 +222,7 @@ def token_bag(spark: SparkSession, d: str) -> DataFrame:
 @op("minhash_signatures", "similarity", w(BLOCKS, _BAG) + ", v AS (SELECT id, i, md5(concat(i, ':', token)) AS h FROM (SELECT c.id, c.token, unnest(range(4)) AS i FROM c JOIN s USING (id))) SELECT id, i::INTEGER AS i, min(('0x' || substr(h, 1, 8))::BIGINT) AS value FROM v GROUP BY 1, 2")
 def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:
     """The first four MinHash coordinates of each distinct text."""
-    return D.signatures(D.bags(D.representatives(_texts(spark, d))[0]), 4)
+    return D.signatures(D.sketches(D.representatives(_texts(spark, d))[0]), 4)
 
 
 @op("dup_pairs_lsh", "similarity", w(BLOCKS, _BAG) + """
