@@ -10,7 +10,8 @@ from codelake.functions.text import n_lines, path_parts, strip
 from codelake.operators.graph import cut_lineage, degrees
 
 # Fixed names of entry points, and of items that are called without a reference.
-ENTRY_POINTS = ("main", "app", "index", "run", "start", "init", "setup", "configure", "bootstrap", "register", "create_app", "cli", "handler", "lambda_handler")
+ENTRY_POINTS = ("main", "app", "index", "setup", "configure", "init", "__init__", "__main__", "run", "start", "serve")
+TOUR_STARTS = ("main", "app", "index", "setup", "run", "start", "serve", "__main__", "__init__")
 IMPLICIT = ("__init__", "constructor", "build")
 CONTAINERS = ("class", "widget", "component", "struct")
 # Fixed patterns of code that has a newer form: (id, language, pattern).
@@ -247,7 +248,7 @@ def entry_points(nodes: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
     """Items with the name of an entry point or holding main, app or index, those least referred to first."""
     low = F.lower("name")
     inn = edges.groupBy(F.col("dst").alias("item_id")).agg(F.count("*").alias("fan_in"))
-    hit = nodes.filter(low.isin(*ENTRY_POINTS) | low.contains("main") | low.contains("app") | low.contains("index"))
+    hit = nodes.filter(low.isin(*TOUR_STARTS) | low.contains("main") | low.contains("app") | low.contains("index"))
     return hit.join(inn, "item_id", "left").fillna({"fan_in": 0}).orderBy("fan_in", "ordinal").limit(top).select("item_id", "name", "fan_in", "ordinal")
 
 

@@ -254,7 +254,7 @@ def health_score(spark: SparkSession, d: str) -> DataFrame:
 
 @op("dead_items", "health", w(NODES, EDGES) + """
     , c AS (SELECT *, lower(list_extract(string_split(qualified_name, '.'), -1)) AS low FROM n WHERE item_id NOT IN (SELECT dst FROM e)),
-    b1 AS (SELECT *, CASE WHEN low IN ('main', 'app', 'index', 'run', 'start', 'init', 'setup', 'configure', 'bootstrap', 'register', 'create_app', 'cli', 'handler', 'lambda_handler') THEN 0.2 WHEN low NOT LIKE '\\_%' ESCAPE '\\' THEN 0.8 ELSE 0.9 END AS c1 FROM c),
+    b1 AS (SELECT *, CASE WHEN low IN ('main', 'app', 'index', 'setup', 'configure', 'init', '__init__', '__main__', 'run', 'start', 'serve') THEN 0.2 WHEN low NOT LIKE '\\_%' ESCAPE '\\' THEN 0.8 ELSE 0.9 END AS c1 FROM c),
     b2 AS (SELECT *, CASE WHEN block_type IN ('script_block', 'style_block') THEN 0.2 WHEN contains(low, 'test') THEN 0.3 ELSE c1 END AS c2 FROM b1)
     SELECT item_id, CASE WHEN low IN ('__init__', 'constructor', 'build') THEN 0.1 WHEN block_type = 'method' THEN least(c2, 0.5) ELSE c2 END::DOUBLE AS confidence FROM b2""")
 def dead_items(spark: SparkSession, d: str) -> DataFrame:
