@@ -140,11 +140,21 @@ def own_flags(files: DataFrame) -> DataFrame:
     return rows(picked, run, "ordinal long, scan_id string, language string, repo string, inside string, generated boolean, minified boolean, vendored boolean, data boolean, leaf string").dropDuplicates(["ordinal"])
 
 
+def _of_children() -> Column:
+    """Hash of a folder from its children's hashes in any order: their number, a sum and an exclusive or of two hashes of each.
+
+    These merge, so a folder of any number of files is pre-aggregated before
+    the shuffle and never held in one task.
+    """
+    one, two = F.xxhash64(F.lit("a"), "hash"), F.xxhash64(F.lit("b"), "hash")
+    return F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.sum(one.cast("decimal(20,0)")).cast("string"), F.bit_xor(two).cast("string")), 256)
+
+
 def merkle(leaves: DataFrame) -> DataFrame:
     """Merkle hashes of all folders of each repository, from the leaves upwards.
 
     ``leaves``: repo, inside (path within it), leaf. The hash of a folder is
-    that of the sorted hashes of its children, so names don't count and the
+    that of the multiset of its children's hashes, so names don't count and the
     same tree under another name has the same hash. Result: repo, path, depth,
     hash, files; files without a leaf hash take part as an empty child. Each
     level is one aggregation over the level below; nothing is collected.
@@ -155,7 +165,7 @@ def merkle(leaves: DataFrame) -> DataFrame:
     levels = []
     below = nodes.filter(F.col("depth") == deepest)
     for depth in range(deepest, 1, -1):
-        up = below.groupBy("repo", parent.alias("path")).agg(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list("hash"))), 256).alias("hash"), F.sum("files").alias("files")).withColumn("depth", F.lit(depth - 1))
+        up = below.groupBy("repo", parent.alias("path")).agg(_of_children().alias("hash"), F.sum("files").alias("files")).withColumn("depth", F.lit(depth - 1))
         levels.append(up.select("repo", "path", "depth", "hash", "files"))
         below = nodes.filter(F.col("depth") == depth - 1).unionByName(levels[-1])
     out = nodes.select("repo", "path", "depth", "hash", "files")
