@@ -196,8 +196,10 @@ def folder_of(path: str = "file_path") -> Column:
 
 def boilerplate(blocks: DataFrame) -> DataFrame:
     """Kinds of block that a folder holds more than once: directory, block_type, n, names (the first five)."""
-    g = blocks.groupBy(folder_of().alias("directory"), "block_type").agg(F.count("*").alias("n"), F.slice(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "name"))), lambda x: x["name"]), 1, 5).alias("names"))
-    return g.filter("n >= 2")
+    b = blocks.select(folder_of().alias("directory"), "block_type", "ordinal", "name")
+    w = Window.partitionBy("directory", "block_type").orderBy("ordinal")
+    five = b.withColumn("r", F.row_number().over(w)).filter("r <= 5").groupBy("directory", "block_type").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "name"))), lambda x: x["name"]).alias("names"))
+    return b.groupBy("directory", "block_type").agg(F.count("*").alias("n")).filter("n >= 2").join(five, ["directory", "block_type"])
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -30,9 +30,9 @@ def bags(texts: DataFrame, least: int = 5) -> DataFrame:
 def representatives(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(reps, members): one text of each set of equal texts (its least id), and (id, rep) for all."""
     t = texts.filter("source_code is not null").withColumn("h", F.sha2("source_code", 256))
-    first = t.groupBy("h").agg(F.min("id").alias("rep"))
-    members = t.select("id", "h").join(first, "h").select("id", "rep")
-    return t.join(members.filter("id = rep").select("id"), "id", "left_semi").select("id", "source_code"), members
+    reps = t.groupBy("h").agg(F.min("id").alias("id"), F.any_value("source_code").alias("source_code"))  # merged before the shuffle
+    members = t.select("id", "h").join(t.groupBy("h").agg(F.min("id").alias("rep")), "h").select("id", "rep")
+    return reps.select("id", "source_code"), members
 
 
 _WORD = re.compile(r"[a-zA-Z_]\w+")

@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codelake.batches import rows
+
 
 def sequenced(events: DataFrame) -> DataFrame:
     """Adds seq, the place of each event in the order of (ts, event_id), from 1.
 
-    Days are numbered apart and shifted by the number of events before them,
-    so no task holds more than a day; the offsets are one row for each day.
+    Minutes are numbered apart and shifted by the number of events before them,
+    so no task orders more than a minute at once; offsets are one row a minute.
+    Events without a time have no place and drop out.
     """
-    day = events.withColumn("_d", F.to_date("ts"))
+    day = events.withColumn("_d", F.date_trunc("minute", "ts"))
     offset = day.groupBy("_d").agg(F.count("*").alias("_n")).withColumn("_o", F.sum("_n").over(Window.orderBy("_d")) - F.col("_n"))
     w = Window.partitionBy("_d").orderBy("ts", "event_id")
-    return day.withColumn("_k", F.row_number().over(w)).join(F.broadcast(offset.select("_d", "_o")), "_d").withColumn("seq", F.col("_k") + F.col("_o")).drop("_d", "_k", "_o")
+    return day.withColumn("_k", F.row_number().over(w)).join(offset.select("_d", "_o"), "_d").withColumn("seq", F.col("_k") + F.col("_o")).drop("_d", "_k", "_o")
 
 
 def tool_stats(e: DataFrame) -> DataFrame:
@@ -172,15 +175,17 @@ def rate_limited(e: DataFrame, key: str = "user_id", limit: int = 30, window_s:
     last ``window_s`` seconds; refused ones take no place. Whether an event is
     allowed depends on the decisions before it, so each key runs in order.
     """
-    import pandas as pd
+    from collections import deque
 
-    def decide(g: pd.DataFrame) -> pd.DataFrame:
-        from collections import deque
+    kept: deque[float] = deque()
+    at: list[str] = []  # the key at hand
 
-        g = g.sort_values("seq")
-        kept: deque[float] = deque()
+    def decide(b: dict[str, list]) -> dict[str, list]:
         ok, retry = [], []
-        for t in g["t"]:
+        for k, t in zip(b["key"], b["t"], strict=True):
+            if at != [k]:
+                at[:] = [k]
+                kept.clear()
             while kept and kept[0] <= t - window_s:
                 kept.popleft()
             if len(kept) < limit:
@@ -190,7 +195,7 @@ def rate_limited(e: DataFrame, key: str = "user_id", limit: int = 30, window_s:
             else:
                 ok.append(False)
                 retry.append(round(kept[0] - (t - window_s), 6))
-        return pd.DataFrame({"key": g["key"], "seq": g["seq"], "allowed": ok, "retry_after": retry})
+        return {"key": b["key"], "seq": b["seq"], "allowed": ok, "retry_after": retry}
 
     picked = e.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), "seq", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    return picked.groupBy("key").applyInPandas(decide, "key string, seq long, allowed boolean, retry_after double")
+    return rows(picked.repartition("key").sortWithinPartitions("key", "seq"), decide, "key string, seq long, allowed boolean, retry_after double")
