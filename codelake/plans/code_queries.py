@@ -51,7 +51,7 @@ def tiered_target(spark: SparkSession, d: str) -> DataFrame:
 @op("items_filter", "filter", w(ITEMS) + "SELECT ordinal FROM i WHERE language = 'python' AND block_type = 'method' AND contains(lower(qualified_name), 'merge')")
 def items_filter(spark: SparkSession, d: str) -> DataFrame:
     """Items by language, kind and part of the name."""
-    return T.items(spark, d).filter((F.col("language") == "python") & (F.col("block_type") == "method") & F.lower("qualified_name").contains("merge")).select("ordinal")
+    return T.items(spark, d, "language = 'python' and block_type = 'method' and contains(lower(qualified_name), 'merge')").select("ordinal")
 
 
 @op("duplicate_items", "scan", w(ITEMS) + "SELECT item_id, count(*) AS n, max(ordinal) AS kept FROM i GROUP BY item_id HAVING count(*) > 1")
@@ -70,13 +70,13 @@ def line_counts(spark: SparkSession, d: str) -> DataFrame:
 def tokens_per_block(spark: SparkSession, d: str) -> DataFrame:
     """Words and different words of each block."""
     t = X.tokens("source_code")
-    return T.blocks(spark, d).filter("source_code is not null").select("ordinal", F.size(t).cast("long").alias("words"), F.size(F.array_distinct(t)).cast("long").alias("different"))
+    return T.blocks(spark, d, "source_code is not null").select("ordinal", F.size(t).cast("long").alias("words"), F.size(F.array_distinct(t)).cast("long").alias("different"))
 
 
 @op("type_references", "text", w(BLOCKS) + r"SELECT ordinal, list_sort(list_distinct(list_filter(regexp_extract_all(source_code, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z][a-zA-Z0-9]+')))) AS refs FROM b WHERE source_code IS NOT NULL")
 def type_references(spark: SparkSession, d: str) -> DataFrame:
     """Different capitalised words of each block, sorted."""
-    return T.blocks(spark, d).filter("source_code is not null").select("ordinal", F.array_sort(F.array_distinct(F.regexp_extract_all("source_code", F.lit(r"\b[A-Z][a-zA-Z0-9]+\b"), F.lit(0)))).alias("refs"))
+    return T.blocks(spark, d, "source_code is not null").select("ordinal", F.array_sort(F.array_distinct(F.regexp_extract_all("source_code", F.lit(r"\b[A-Z][a-zA-Z0-9]+\b"), F.lit(0)))).alias("refs"))
 
 
 @op("ddl_statements", "scan", w(FILES) + r"""
@@ -86,7 +86,7 @@ def type_references(spark: SparkSession, d: str) -> DataFrame:
     FROM l WHERE regexp_matches(s, '(?i)^\s*CREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+|MATERIALIZED\s+|UNIQUE\s+)?(TABLE|VIEW|FUNCTION|TRIGGER|INDEX|POLICY)\b')""")
 def ddl_statements(spark: SparkSession, d: str) -> DataFrame:
     """Data definitions in SQL files: line, kind, name."""
-    return S.ddl(T.files(spark, d).filter("language = 'sql'"))
+    return S.ddl(T.files(spark, d, "language = 'sql'"))
 
 
 @op("preview_slice", "search", w(ITEMS, FILES) + r"""
@@ -319,7 +319,7 @@ def parameters(spark: SparkSession, d: str) -> DataFrame:
     SELECT ordinal, len(list_filter(string_split(raw, ','), lambda x: trim(x) NOT IN ('', 'self', 'cls'))) AS n FROM p""")
 def parameter_counts(spark: SparkSession, d: str) -> DataFrame:
     """Number of parameters of each Python block."""
-    return A.catalog(T.blocks(spark, d).filter("language = 'python' and source_code is not null")).select("ordinal", F.size("parameters").cast("long").alias("n"))
+    return A.catalog(T.blocks(spark, d, "language = 'python' and source_code is not null")).select("ordinal", F.size("parameters").cast("long").alias("n"))
 
 
 @op("docs_sections", "docs")
@@ -375,7 +375,7 @@ def templates(spark: SparkSession, d: str) -> DataFrame:
 def template_apply(spark: SparkSession, d: str) -> DataFrame:
     """A template filled in for each block."""
     v = F.create_map(F.lit("name"), "name", F.lit("base"), F.coalesce("parent", F.lit("object")))
-    return T.blocks(spark, d).filter("name is not null").select("ordinal", A.apply_template("class {{name}}({{base}}): pass", v).alias("code"))
+    return T.blocks(spark, d, "name is not null").select("ordinal", A.apply_template("class {{name}}({{base}}): pass", v).alias("code"))
 
 
 @op("case_variants", "template", w(BLOCKS) + r"""
@@ -383,25 +383,25 @@ def template_apply(spark: SparkSession, d: str) -> DataFrame:
     SELECT name, array_to_string(list_transform(ws, lambda y: upper(y[1:1]) || lower(y[2:])), '') AS pascal, array_to_string(list_transform(ws, lambda y: lower(y)), '_') AS snake, array_to_string(list_transform(ws, lambda y: upper(y)), '_') AS upper, array_to_string(list_transform(ws, lambda y: lower(y)), '-') AS kebab FROM x""")
 def case_variants(spark: SparkSession, d: str) -> DataFrame:
     """Spellings of each name."""
-    v = T.blocks(spark, d).filter("name is not null").select("name").distinct().withColumn("v", X.case_variants("name"))
+    v = T.blocks(spark, d, "name is not null").select("name").distinct().withColumn("v", X.case_variants("name"))
     return v.select("name", "v.pascal", "v.snake", "v.upper", "v.kebab")
 
 
 @op("clone_counts", "template", w(BLOCKS) + "SELECT ordinal, ((length(source_code) - length(replace(source_code, name, ''))) / length(name))::INTEGER AS found FROM b WHERE source_code IS NOT NULL AND length(name) > 0")
 def clone_counts(spark: SparkSession, d: str) -> DataFrame:
     """How often each block holds its own name."""
-    return T.blocks(spark, d).filter("source_code is not null and length(name) > 0").select("ordinal", X.occurrences("source_code", F.col("name")).alias("found"))
+    return T.blocks(spark, d, "source_code is not null and length(name) > 0").select("ordinal", X.occurrences("source_code", F.col("name")).alias("found"))
 
 
 @op("clone_preview", "template")
 def clone_preview(spark: SparkSession, d: str, new_name: str = "FreshSampleThing") -> DataFrame:
     """Each block with its name replaced in all spellings."""
     code, n = A.cloned(F.col("source_code"), X.case_variants("name"), X.case_variants(F.lit(new_name)))
-    return T.blocks(spark, d).filter("source_code is not null and name is not null").select("ordinal", code.alias("code"), n.alias("replacements"))
+    return T.blocks(spark, d, "source_code is not null and name is not null").select("ordinal", code.alias("code"), n.alias("replacements"))
 
 
 def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    b = T.blocks(spark, d).filter("name is not null")
+    b = T.blocks(spark, d, "name is not null")
     return b.filter("scan_id < '8'"), b.filter("scan_id >= '8'")
 
 
@@ -513,7 +513,7 @@ def resolvable_deps(spark: SparkSession, d: str) -> DataFrame:
 @op("template_match", "merge", w(BLOCKS, ITEMS, _SCANS) + ", w AS (SELECT DISTINCT name, block_type, language FROM b WHERE block_type = 'class'), p AS (SELECT i.*, concat_ws('::', i.scan_id, i.item_id) AS key FROM i JOIN sc ON sc.scan_id = i.scan_id AND sc.status = 'ready' QUALIFY row_number() OVER (PARTITION BY name, block_type, language ORDER BY ordinal) = 1) SELECT w.name, w.block_type, w.language, p.key FROM w LEFT JOIN p USING (name, block_type, language)")
 def template_match(spark: SparkSession, d: str) -> DataFrame:
     """The first item of the palette for each wanted class."""
-    want = T.blocks(spark, d).filter("block_type = 'class'").select("name", "block_type", "language").distinct()
+    want = T.blocks(spark, d, "block_type = 'class'").select("name", "block_type", "language").distinct()
     return M.template_match(want, M.palette(T.items(spark, d), T.read(spark, d, "scans"), T.blocks(spark, d)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,16 +25,22 @@ def one_each(df: DataFrame) -> DataFrame:
     return df.drop("loaded_at").dropDuplicates(["ordinal"])
 
 
-def blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return one_each(read(spark, folder, "blocks")).withColumn("language", language())
+def _settled(df: DataFrame, where: str | Column | None) -> DataFrame:
+    """Normalised languages and one row for each ordinal; a condition is met before, as repeated rows agree, and so reaches the scan."""
+    df = df.withColumn("language", language())
+    return one_each(df if where is None else df.filter(where))
 
 
-def items(spark: SparkSession, folder: str) -> DataFrame:
-    return one_each(read(spark, folder, "items")).withColumn("language", language())
+def blocks(spark: SparkSession, folder: str, where: str | Column | None = None) -> DataFrame:
+    return _settled(read(spark, folder, "blocks"), where)
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
-    return one_each(read(spark, folder, "source_files")).withColumn("language", language())
+def items(spark: SparkSession, folder: str, where: str | Column | None = None) -> DataFrame:
+    return _settled(read(spark, folder, "items"), where)
+
+
+def files(spark: SparkSession, folder: str, where: str | Column | None = None) -> DataFrame:
+    return _settled(read(spark, folder, "source_files"), where)
 
 
 def last_by_item(df: DataFrame) -> DataFrame:
