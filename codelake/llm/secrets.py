@@ -23,17 +23,20 @@ _ISSUED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?:AKIA|ASIA)[0-9A-Z]{12,20}|gh[po
 _URL = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://[^\s\"'`:/@<>{}$%]+:(?P<value>[^\s\"'`/@<>]+|[^\s\"'`@<>]*[^\s\"'`@<>/])@[\w.-]+")
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<value>[\s\S]*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)")
 _NAMED = re.compile(r"(?<![\w$.-])(?P<name>(?=[\d$.-]*[A-Za-z_])[\w$.]++(?:-[\w$.]++)*+)[\"']?\]?\s*(?::\s*(?:&(?:'static\s+)?)?[\w<>?*\[\]]+\s*(?==))?(?::=|=>|=|:|->)\s*(?=[\"'`]|[^\s\"'`=>&|])")
-_QUOTED = re.compile(r"(?P<q>[\"'`])(?P<value>[^\"'`\s\\]{8,400})(?P=q)")
-_JOINED = re.compile(r"(?P<q>[\"'`])(?P<a>[^\"'`\s\\]{3,400})(?P=q)(?P<more>(?:\s*(?:\+|\.|<>|~|\|\|)\s*(?P=q)[^\"'`\s\\]{1,400}(?P=q))+)")
-_CALL = re.compile(r"\b(?:log_?in|connect|open_?session|authenticate|auth|sign_?in|bind|set_?password|basic_?auth)\s*\(\s*[\"'`][^\"'`\s]+[\"'`]\s*,\s*[\"'`](?P<value>[^\"'`\s]{6,400})[\"'`]", re.I)
-_BEARER = re.compile(r"\b(?:Bearer|Basic|Token)\s+(?P<value>[^\s\"'`<>{}$]{8,400})(?=[\"'`\s]|$)")
-_QUERY = re.compile(r"[?&](?:access_token|api_?key|token|auth|key|password|secret|client_secret|sig)=(?P<value>[^\s\"'`&<>{}$]{8,400})", re.I)
-_SQL_PW = re.compile(r"\b(?:PASSWORD|IDENTIFIED\s+BY)\s+'(?P<value>[^'\s]{6,400})'", re.I)
-_COMMENT = re.compile(r"(?<![\w.-])(?P<name>[A-Za-z]\w*+(?:[.-]\w++)*+)\s*(?:\bwas\b|\bis\b|->|:|=)\s*(?P<value>[^\s\"'`,;()]{8,400})(?=[\s,;)]|$)")
+_QUOTED = re.compile(r"(?P<q>[\"'`])(?P<value>[^\"'`\s\\]{8,}+)(?P=q)")
+_JOINED = re.compile(r"(?P<q>[\"'`])(?P<a>[^\"'`\s\\]{3,}+)(?P=q)(?P<more>(?:\s*(?:\+|\.|<>|~|\|\|)\s*(?P=q)[^\"'`\s\\]++(?P=q))+)")
+_CALL = re.compile(r"\b(?:log_?in|connect|open_?session|authenticate|auth|sign_?in|bind|set_?password|basic_?auth)\s*\(\s*[\"'`][^\"'`\s]+[\"'`]\s*,\s*[\"'`](?P<value>[^\"'`\s]{6,}+)[\"'`]", re.I)
+_BEARER = re.compile(r"\b(?:Bearer|Basic|Token)\s+(?P<value>[^\s\"'`<>{}$]{8,}+)(?=[\"'`\s]|$)")
+_QUERY = re.compile(r"[?&](?:access_token|api_?key|token|auth|key|password|secret|client_secret|sig)=(?P<value>[^\s\"'`&<>{}$]{8,}+)", re.I)
+_SQL_PW = re.compile(r"\b(?:PASSWORD|IDENTIFIED\s+BY)\s+'(?P<value>[^'\s]{6,}+)'", re.I)
+_COMMENT = re.compile(r"(?<![\w.-])(?P<name>[A-Za-z]\w*+(?:[.-]\w++)*+)\s*(?:\bwas\b|\bis\b|->|:|=)\s*(?:(?P<value>[^\s\"'`,;()]{8,}+)(?=[\s,;)]|$)|[^\s\"'`,;()]++)")
 _COMMENT_LINE = re.compile(r"\s*(?://|#|\*|/\*|--|;|<!--)")
-_LOGIN = re.compile(r"\b(?:log_?in|password|passwd|pwd|credentials?|pass|secret|token)\s+(?:for|of|to)\s+[\w.@-]+\s*(?::|=|->|\bis\b)\s*(?P<value>[^\s\"'`,;()]{8,400})", re.I)
+_LOGIN = re.compile(r"\b(?:log_?in|password|passwd|pwd|credentials?|pass|secret|token)\s+(?:for|of|to)\s+[\w.@-]+\s*(?::|=|->|\bis\b)\s*(?P<value>[^\s\"'`,;()]{8,}+)", re.I)
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]*\d)[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-_CONFIG_LINE = re.compile(r"^\s*(?:export\s+|-\s+)?[\"']?(?P<name>[\w.-]+)[\"']?\s*[=:]\s*(?P<value>[^\s\"'#;][^\s\"']{7,400})\s*$", re.M)
+_CONFIG_LINE = re.compile(r"^\s*(?:export\s+|-\s+)?[\"']?(?P<name>[\w.-]+)[\"']?\s*[=:]\s*(?P<value>[^\s\"'#;][^\s\"']{7,}+)\s*$", re.M)
+# First characters that the formats of images, fonts, archives, documents, sound and compiled code have in base64, and names of what holds such data.
+_BLOB = re.compile(r"iVBORw0KGgo|/9j/|R0lGOD|UklGR|PHN2Zy|PD94bW|AAABAA|d09G[Rg]|AAEAAAA|T1RUTw|UEsDB|H4sI|QlpoO|N3q8r|/Td6WF|KLUv/|JVBERi|SUQz|T2dnUw|AGFzbQ|f0VMR|TVqQ|yv66v")
+_BLOB_NAME = re.compile(r"(?:^|_)(?:blob|data_?uri|wasm|bitmap|pixels?|sprite|texture|audio|video|pdf|zip|certificate|bytecode|source_?map)s?(?:$|_)")
 # What makes a line worth a closer look: a run of at least eight characters with a figure, or a telling word.
 _RUN = re.compile(r"(?<![\w+/=@:#!%?*&$^~|\\.-])[A-Za-z_+/=@:#!%?*&$^~|\\.-]*+\d[\w+/=@:#!%?*&$^~|\\.-]*+")
 _TELLING = re.compile(r"[Pp]assw|PASSW|_pass\b|_PASS\b|[Pp]wd|PWD|[Ss]ecret|SECRET|[Aa]pi_?[Kk]ey|API_?KEY|[Aa]ccess_?[Kk]ey|ACCESS_?KEY|[Aa]uth_?[Tt]oken|AUTH_?TOKEN|[Ss]igning_?[Kk]ey|SIGNING_?KEY|[Bb]earer|BEARER|Basic |[Ll]ogin|LOGIN|openSession|connect\(|xox[abprs]-|glpat-|gh[pousr]_|A[KS]IA[A-Z0-9]|AIza|npm_|sk_live|eyJ|SG\.")
@@ -156,19 +159,19 @@ def _in_line(s: str) -> list[tuple[int, int, str]]:
         if j:
             v = "".join([j["a"], *re.findall(r"[\"'`]([^\"'`]+)[\"'`]", j["more"])])
             u = _URL.match(v)
-            if _ISSUED.match(v) or (u and _usable(u["value"], None, True)) or _usable(v, m["name"], False) or (random_looking(v) and alphabet(v) == "base64" and not _PLAIN_NAME.search(_name(m["name"]))):
+            if _ISSUED.match(v) or (u and _usable(u["value"], None, True)) or _usable(v, m["name"], False) or (random_looking(v) and alphabet(v) == "base64" and not _BLOB.match(v) and not _PLAIN_NAME.search(_name(m["name"]))):
                 out.append((m.end() + 1, j.end() - 1, "joined"))
         elif (q := _QUOTED.match(s, m.end())) and "://" not in q["value"] and _usable(q["value"], m["name"], False):
             out.append((m.end() + 1, q.end() - 1, "named"))
     if _COMMENT_LINE.match(s):
-        out += [(m.start("value"), m.end("value"), "comment") for m in _COMMENT.finditer(s) if "://" not in m["value"] and _usable(m["value"].rstrip("."), m["name"], False)]
+        out += [(m.start("value"), m.end("value"), "comment") for m in _COMMENT.finditer(s) if m["value"] and "://" not in m["value"] and _usable(m["value"].rstrip("."), m["name"], False)]
     else:
         c = _CONFIG_LINE.match(s)
         if c and "://" not in c["value"] and not re.search(r"[(){}\[\]]", c["value"]) and _usable(c["value"], c["name"], False):
             out.append((c.start("value"), c.end("value"), "config"))
     for m in _LONG.finditer(s):
         v = m[0]
-        if alphabet(v) != "hex" and len(v) <= 128 and _loose(s, m.start()) and random_looking(v):
+        if alphabet(v) != "hex" and not _BLOB.match(v) and _loose(s, m.start()) and random_looking(v):
             out.append((m.start(), m.end(), "entropy"))
     return out
 
@@ -176,9 +179,10 @@ def _in_line(s: str) -> list[tuple[int, int, str]]:
 def _loose(line: str, at: int) -> bool:
     """Whether a long token that nothing names stands as a whole literal and nothing tells it is harmless."""
     before = line[:at].rstrip("\"'`")
-    names = _NAMED.findall(line[:at] + "x")
+    names = _NAMED.search(line[:at] + "x")
     name = _name(before[-120:])
-    if not names or re.search(r"-----(?:BEGIN|END)|base64|data:|ssh-|sha\d+-|integrity|PUBLIC", line) or _PLAIN_NAME.search(name):
+    named = [n for m in _NAMED.finditer(before[-120:] + "x") if (n := _name(m["name"]))]
+    if not names or (named and _BLOB_NAME.search(named[-1])) or re.search(r"-----(?:BEGIN|END)|base64|data:|ssh-|sha\d+-|integrity|PUBLIC", line) or _PLAIN_NAME.search(name):
         return False
     return line[:at][-1:] in "\"'`" or line[:at].rstrip()[-1:] in "=:"
 

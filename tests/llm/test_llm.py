@@ -1,6 +1,7 @@
 """Operators for training data on small fixtures, against brute force and round trips."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -212,6 +213,19 @@ def test_secret(line):
     assert Counter(c for c in out if c in "\"'`(){}[]") == Counter(c for c in text if c in "\"'`(){}[]")
 
 
+def test_secret_length():
+    pool = "Q7rT2xVb9Kd4Lm8Zp3Ws6Yc1Hn5Jf0GgAaEeUu"
+    v = "".join(pool[(i * i * 7 + i * 3 + i // 38) % 38] for i in range(900))
+    lines = [f'session_token = "{v}"', f"api_key = '{v}' + '{v}'", f'login("svc", "{v}")', f"h: Bearer {v}", f"fetch(`https://h/v1?access_token={v}`)", f"ALTER ROLE a PASSWORD '{v}';", f"# smtp_pass: {v}, valid", f"# password for svc: {v}", f"db_password={v}", f'x = "{v}"']
+    for line in lines:
+        spans = secrets.credentials_of(line)
+        assert len(spans) == 1 and v[-50:] not in secrets.redacted(line, spans), line[:30]
+    assert secrets.credentials_of(f'x = "iVBORw0KGgo{v}"') == secrets.credentials_of(f'wasm = "{v}"') == []
+    start = time.monotonic()
+    secrets.credentials_of("# password " + "a:" * 100_000 + "(")
+    assert time.monotonic() - start < 5
+
+
 @pytest.mark.parametrize("line", CLEAN)
 def test_no_secret(line):
     assert secrets.credentials_of(f"{line}\n") == []
