@@ -37,9 +37,37 @@ _CONFIG_LINE = re.compile(r"^\s*(?:export\s+|-\s+)?[\"']?(?P<name>[\w.-]+)[\"']?
 # First characters that the formats of images, fonts, archives, documents, sound and compiled code have in base64, and names of what holds such data.
 _BLOB = re.compile(r"iVBORw0KGgo|/9j/|R0lGOD|UklGR|PHN2Zy|PD94bW|AAABAA|d09G[Rg]|AAEAAAA|T1RUTw|UEsDB|H4sI|QlpoO|N3q8r|/Td6WF|KLUv/|JVBERi|SUQz|T2dnUw|AGFzbQ|f0VMR|TVqQ|yv66v")
 _BLOB_NAME = re.compile(r"(?:^|_)(?:blob|data_?uri|wasm|bitmap|pixels?|sprite|texture|audio|video|pdf|zip|certificate|bytecode|source_?map)s?(?:$|_)")
-# What makes a line worth a closer look: a run of at least eight characters with a figure, or a telling word.
-_RUN = re.compile(r"(?<![\w+/=@:#!%?*&$^~|\\.-])[A-Za-z_+/=@:#!%?*&$^~|\\.-]*+\d[\w+/=@:#!%?*&$^~|\\.-]*+")
-_TELLING = re.compile(r"[Pp]assw|PASSW|_pass\b|_PASS\b|[Pp]wd|PWD|[Ss]ecret|SECRET|[Aa]pi_?[Kk]ey|API_?KEY|[Aa]ccess_?[Kk]ey|ACCESS_?KEY|[Aa]uth_?[Tt]oken|AUTH_?TOKEN|[Ss]igning_?[Kk]ey|SIGNING_?KEY|[Bb]earer|BEARER|Basic |[Ll]ogin|LOGIN|openSession|connect\(|xox[abprs]-|glpat-|gh[pousr]_|A[KS]IA[A-Z0-9]|AIza|npm_|sk_live|eyJ|SG\.")
+# What makes a line worth a closer look: a run of at least eight characters with a figure, literals that are joined, the prefix of an
+# issued token, or in lower case a word that every name of _SECRET_NAME or every context has; of "key" and the calls, what must stand beside it.
+_RUN = re.compile(r"(?<![\w+/=@:#!%?*&$^~|\\.-])[A-Za-z_+/=@:#!%?*&$^~|\\.\x80-\U0010ffff-]*+\d[\w+/=@:#!%?*&$^~|\\.\x80-\U0010ffff-]*+")
+_JOINT = re.compile(r"[\"'`]\s*(?:\+|\.|<>|~|\|\|)\s*[\"'`]")
+_PREFIX = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "k_live_", "k_test_", "AIza", "npm_", "SG.", "eyJ", "pypi-", "hf_", "dop_v1_", "shpat_", "sq0", "EAACEdEose0cBA", "ya29.", "Basic")
+_WORDS = ("pass", "pwd", "secret", "token", "auth", "bearer", "credential", "identified", "sig=")
+_KEY = re.compile(r"(?:(?:api|access|signing|private|encryption|master|client|storage|account|license)[_.-]?|[?&])key")
+_OPENS = re.compile(r"(?:log_?in|connect|open_?session|sign_?in|bind)\s*\(\s*[\"'`]|\blog_?in\s+(?:for|of|to)\s")
+
+
+def _spots(text: str) -> list[int]:
+    """Offsets of all that makes a line worth a closer look."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    out = [m.start() for m in _RUN.finditer(text) if m.end() - m.start() >= 8]
+    out += [m.start() for m in _JOINT.finditer(text)]
+    for where, words in ((text, _PREFIX), (low, _WORDS)):
+        for word in words:
+            at = where.find(word)
+            while at >= 0:
+                out.append(at)
+                at = where.find("\n", at)  # one spot a line is enough
+                at = where.find(word, at) if at >= 0 else -1
+    if "key" in low:
+        out += [m.start() for m in _KEY.finditer(low)]
+    if "(" in low or "log" in low:
+        out += [m.start() for m in _OPENS.finditer(low)]
+    return sorted(out)
+
+
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _HEX = re.compile(r"^(?:0x)?[0-9a-fA-F]+$")
 _B64 = re.compile(r"^[A-Za-z0-9+/_-]+={0,2}$")
@@ -128,10 +156,8 @@ def credentials_of(text: str | None, path: str | None = None) -> list[tuple[int,
         for m in _URL.finditer(text):
             if not _PLACEHOLDER.match(m["value"]) and not _REFERENCE.search(m["value"]) and len(m["value"]) >= 4:
                 add(m.start("value"), m.end("value"), "url_password")
-    spots = [m.start() for m in _RUN.finditer(text) if m.end() - m.start() >= 8]
-    spots += [m.start() for m in _TELLING.finditer(text)]
     upto = -1
-    for spot in sorted(spots):
+    for spot in _spots(text):
         if spot < upto:
             continue
         at = text.rfind("\n", 0, spot) + 1

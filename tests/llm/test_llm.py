@@ -226,6 +226,17 @@ def test_secret_length():
     assert time.monotonic() - start < 5
 
 
+NAMES = "password passwd db_pwd db_pass secret api_key apikey access_key auth_token bearer signing_key private_key encryption_key master_key credential client_key access_token refresh_token session_token deploy_token bot_token user_token api_token id_token authorization auth passphrase smtp_pass x_api_key storage_key account_key license_key".split()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_secret_gate(name):
+    camel = name.split("_")[0] + "".join(x.title() for x in name.split("_")[1:])
+    for n in (name, name.upper(), camel, name.replace("_", "-"), name.replace("_", ".")):
+        for line in (f'{n} = "Winter-is-Coming!"', f"{n}: Winter-is-Coming!", f"# {n}: Winter-is-Coming!"):
+            assert [x[:2] for x in secrets.credentials_of("x\n" + line)] == sorted({(a + 2, b + 2) for a, b, _ in secrets._in_line(line)}) != [], line
+
+
 @pytest.mark.parametrize("line", CLEAN)
 def test_no_secret(line):
     assert secrets.credentials_of(f"{line}\n") == []
