@@ -14,27 +14,36 @@ from codelake.llm import grammar
 from codelake.llm.common import checkpointed, language, rows
 from codelake.llm.lexing import BAD, LANGUAGES, LIT, mask
 
-_KW = "if|for|while|switch|catch|return|function|with|super|else|do|new|throw|await|yield|foreach|using|lock|fixed|sizeof|typeof|case|when|assert|elif|def|import|package|match|guard|repeat|defer|synchronized|try|in|is|as|delete|goto|print|println"
-_NAME = rf"(?P<name>(?!(?:{_KW})\b)[A-Za-z_$][\w$]*)"
+# Words that no function of the language can be named, or that open a statement which looks like a definition. After a keyword
+# such as func any name will do.
+_RESERVED = {
+    "javascript": "if|for|while|switch|catch|with|function|case",
+    "java": "if|for|while|switch|catch|return|super|this|else|do|new|throw|case|assert|import|package|synchronized|try|goto|instanceof",
+    "csharp": "if|for|while|switch|catch|return|base|this|else|do|new|throw|foreach|using|lock|fixed|sizeof|typeof|case|when|try|in|is|as|goto",
+    "cpp": "if|for|while|switch|catch|return|else|do|new|throw|sizeof|case|using|try|delete|goto|typedef|co_await|co_return|co_yield",
+    "dart": "if|for|while|switch|catch|return|super|this|else|do|new|throw|case|when|assert|with|in|is|try",
+}
+_ANY = r"(?P<name>[A-Za-z_$][\w$]*)"
+_NAME = {k: rf"(?P<name>(?!(?:{v})\b)[A-Za-z_$][\w$]*)" for k, v in _RESERVED.items()}
 _MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|async|override|virtual|sealed|native|synchronized|default|extern|external|unsafe|new|partial|inline|constexpr|explicit|friend|const|readonly|export|open|suspend|operator|infix|tailrec|mutating|nonmutating|class|required|convenience|fileprivate|late|covariant|extern|get|set)\s+)*"
 _TYPE = r"(?!(?:return|new|throw|else|await|yield|case|goto|delete|import|package|using|in|is|as|assert)\b)[A-Za-z_][\w.:]*(?:\s*<[^;{}()=]*>)?(?:\s*\[\s*\])*[?*&]*"
 _ARGS = r"\((?:[^;{}()]|\([^;{}()]*\)|\{[^;{}()]*\})*\)"
 _ANN = r"(?:@[\w.]+(?:\([^()\n]*\))?[ \t]+)*"
 _DEF = {
     "javascript": (
-        rf"^[ \t]*(?:export[ \t]+(?:default[ \t]+)?)?(?:async[ \t]+)?function\b[ \t]*\*?[ \t]*{_NAME}",
-        rf"^[ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+{_NAME}[ \t]*(?::[^=\n]+)?=[ \t]*(?:async\b[ \t]*)?(?:<[^<>\n]*>[ \t]*)?(?:{_ARGS}[ \t]*(?::[^=\n{{;]+)?|[\w$]+[ \t]*)=>",
-        rf"^[ \t]+(?:(?:public|private|protected|static|async|override|abstract|readonly|get|set)[ \t]+|\*[ \t]*)*#?{_NAME}[ \t]*(?:<[^<>\n]*>[ \t]*)?{_ARGS}[ \t]*(?::[^{{;=]+)?\{{",
+        rf"^[ \t]*(?:export[ \t]+(?:default[ \t]+)?)?(?:async[ \t]+)?function\b[ \t]*\*?[ \t]*{_ANY}",
+        rf"^[ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+{_ANY}[ \t]*(?::[^=\n]+)?=[ \t]*(?:async\b[ \t]*)?(?:<[^<>\n]*>[ \t]*)?(?:{_ARGS}[ \t]*(?::[^=\n{{;]+)?|[\w$]+[ \t]*)=>",
+        rf"^[ \t]+(?:(?:public|private|protected|static|async|override|abstract|readonly|get|set)[ \t]+|\*[ \t]*)*#?{_NAME['javascript']}[ \t]*(?:<[^<>\n]*>[ \t]*)?{_ARGS}[ \t]*(?::[^{{;=]+)?\{{",
     ),
-    "java": (rf"^[ \t]*{_ANN}{_MODS}(?:<[^;{{}}()]*>[ \t]*)?{_TYPE}\s+{_NAME}\s*{_ARGS}\s*(?:throws\s[\w.,\s]+)?[{{;]",),
-    "csharp": (rf"^[ \t]*{_MODS}{_TYPE}\s+{_NAME}\s*(?:<[^;{{}}()]*>\s*)?{_ARGS}\s*(?:where\s[^{{;=]+)?(?:\{{|;|=>)",),
-    "cpp": (rf"^[ \t]*(?:template[ \t]*<[^;{{}}]*>\s*)?{_MODS}{_TYPE}[\s*&]+(?:\w+::)*~?{_NAME}\s*{_ARGS}\s*(?:(?:const|noexcept|override|final)\b\s*|->[ \t]*[\w:<>]+\s*)*[{{;]",),
-    "go": (rf"^func[ \t]+(?:\([^)\n]*\)[ \t]*)?{_NAME}[ \t]*[\[(]",),
-    "rust": (rf"^[ \t]*(?:pub(?:\([^)\n]*\))?[ \t]+)?(?:(?:default|const|async|unsafe|extern(?:[ \t]*{LIT})?)[ \t]+)*fn[ \t]+{_NAME}",),
-    "dart": (rf"^[ \t]*{_MODS}{_TYPE}\s+{_NAME}\s*(?:<[^;{{}}()]*>\s*)?{_ARGS}\s*(?:async\*?|sync\*)?\s*(?:\{{|=>|;)", rf"^[ \t]*{_MODS}{_NAME}\s*{_ARGS}\s*(?:async\*?|sync\*)?\s*(?:\{{|=>)"),
+    "java": (rf"^[ \t]*{_ANN}{_MODS}(?:<[^;{{}}()]*>[ \t]*)?{_TYPE}\s+{_NAME['java']}\s*{_ARGS}\s*(?:throws\s[\w.,\s]+)?[{{;]",),
+    "csharp": (rf"^[ \t]*{_MODS}{_TYPE}\s+{_NAME['csharp']}\s*(?:<[^;{{}}()]*>\s*)?{_ARGS}\s*(?:where\s[^{{;=]+)?(?:\{{|;|=>)",),
+    "cpp": (rf"^[ \t]*(?:template[ \t]*<[^;{{}}]*>\s*)?{_MODS}{_TYPE}[\s*&]+(?:\w+::)*~?{_NAME['cpp']}\s*{_ARGS}\s*(?:(?:const|noexcept|override|final)\b\s*|->[ \t]*[\w:<>]+\s*)*[{{;]",),
+    "go": (rf"^func[ \t]+(?:\([^)\n]*\)[ \t]*)?{_ANY}[ \t]*[\[(]",),
+    "rust": (rf"^[ \t]*(?:pub(?:\([^)\n]*\))?[ \t]+)?(?:(?:default|const|async|unsafe|extern(?:[ \t]*{LIT})?)[ \t]+)*fn[ \t]+(?:r#)?{_ANY}",),
+    "dart": (rf"^[ \t]*{_MODS}{_TYPE}\s+{_NAME['dart']}\s*(?:<[^;{{}}()]*>\s*)?{_ARGS}\s*(?:async\*?|sync\*)?\s*(?:\{{|=>|;)", rf"^[ \t]*{_MODS}{_NAME['dart']}\s*{_ARGS}\s*(?:async\*?|sync\*)?\s*(?:\{{|=>)"),
     "ruby": (r"^[ \t]*(?:(?:private|public|protected|module_function|private_class_method)[ \t]+)?def[ \t]+(?:self\.|\w+\.)?(?P<name>[A-Za-z_]\w*[?!=]?)",),
-    "swift": (rf"^[ \t]*{_ANN}{_MODS}func[ \t]+{_NAME}",),
-    "kotlin": (rf"^[ \t]*{_ANN}{_MODS}fun[ \t]+(?:<[^\n()]*>[ \t]*)?(?:[\w.<>?]+\.)?{_NAME}[ \t]*\(",),
+    "swift": (rf"^[ \t]*{_ANN}{_MODS}func[ \t]+`?{_ANY}",),
+    "kotlin": (rf"^[ \t]*{_ANN}{_MODS}fun[ \t]+(?:<[^\n()]*>[ \t]*)?(?:[\w.<>?]+\.)?`?{_ANY}`?[ \t]*\(",),
     "sql": (r"^[ \t]*(?i:create[ \t]+(?:or[ \t]+replace[ \t]+)?(?:function|procedure))[ \t]+(?:\w+\.)*(?P<name>\w+)",),
 }
 _DEF["typescript"] = _DEF["javascript"]
@@ -116,6 +125,21 @@ def _above(raw: list[str], masked: list[str], i: int, lang: str) -> str:
     return _comment_text(raw[k : j + 1])
 
 
+_LOCK = re.compile(r"lock|guard")
+_HOLDER = re.compile(r"\b(?:class|struct|union|namespace|extern|enum)\b")
+
+
+def _local(masked: str, at: int) -> bool:
+    """Whether offset ``at`` of C++ stands in a function's body, where ``std::lock_guard<M> lock(m);`` is a variable."""
+    depth = 0
+    for m in reversed(list(re.compile(r"[{}]").finditer(masked, 0, at))):
+        depth += 1 if m[0] == "}" else -1
+        if depth < 0:
+            head = masked[: m.start()]
+            return not _HOLDER.search(head[max(head.rfind(c) for c in ";{}") + 1 :])
+    return False
+
+
 def _extent(masked: str, start: int, lang: str) -> int:
     """Offset where a definition that starts at ``start`` ends: its block, or its line."""
     if lang == "ruby":
@@ -196,7 +220,7 @@ def functions_of(lang: str | None, text: str | None) -> list[tuple]:
     for p in _DEFS[lang]:
         for m in p.finditer(masked):
             line = bisect_right(mstarts, m.start("name"))
-            if line in found:
+            if line in found or (lang == "cpp" and m[0].endswith(";") and _LOCK.fullmatch(m["name"]) and _local(masked, m.start())):
                 continue
             first = bisect_right(mstarts, m.start() + len(m[0]) - len(m[0].lstrip()))
             doc = _above(raw, mlines, first - 1, lang)

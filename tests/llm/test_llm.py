@@ -158,6 +158,24 @@ def test_functions():
     assert found("go", "func (") == set() and found("python", None) == set() and found(None, "x") == set()
 
 
+NAMED = {
+    "go": "package a\n\n// Takes one row away from the store.\nfunc (s *Store) delete(id int) {\n}\n", "java": "class A {\n  // Takes one row away from it.\n  public void lock() {\n  }\n}\n",
+    "javascript": "class A {\n  // Takes one row away from it.\n  delete(id) {\n    return id;\n  }\n}\n", "typescript": "class A {\n  // Takes one row away from it.\n  delete(id: number): number {\n    return id;\n  }\n}\n",
+    "csharp": "class A {\n  // Takes one row away from it.\n  public int print(int x) { return x; }\n}\n", "cpp": "class A {\n  // Takes one row away from it.\n  void lock();\n};\n", "rust": "// Takes one row away from it.\nfn print(a: i32) -> i32 {\n    a\n}\n",
+    "kotlin": "// Takes one row away from it.\nfun assert(a: Int): Int {\n    return a\n}\n", "swift": "// Takes one row away from it.\nfunc lock(a: Int) -> Int {\n    return a\n}\n", "dart": "// Takes one row away from it.\nint print(int a) {\n  return a;\n}\n",
+}
+
+
+@pytest.mark.parametrize("lang", NAMED)
+def test_function_names(lang):
+    assert [x[2] for x in found(lang, NAMED[lang])] == [True]
+
+
+def test_statements_are_no_functions():
+    assert found("javascript", "function f(a) {\n  if (a) {\n    g(a);\n  }\n  switch (a) {\n    case (1): {\n      break;\n    }\n  }\n}\n") == {(1, "f", False)}
+    assert found("cpp", "void f() {\n  // Holds the lock until the end.\n  std::lock_guard<std::mutex> lock(m);\n  g();\n}\n") == {(1, "f", False)}
+
+
 def test_inherited(spark):
     java = "class A {\n  /** Reads the next row from disk. */\n  int f(int x) { return 1; }\n}\n\nclass B extends A {\n  /** {@inheritDoc} */\n  int f(int x) { return 2; }\n}\n\nclass C extends B {\n  int f(int x) { return 3; }\n  int g(int x) { return 3; }\n}\n"
     f = files(spark, (1, "java", "A.java", java), (1, "java", "A.java", java), (2, "java", "B.java", None))
