@@ -224,9 +224,9 @@ _SIGN_RE = {k: re.compile(rf"^[ \t]*(?:{v})", re.M) for k, v in _SIGNS.items()}
 
 
 def ranked(text: str) -> list[str]:
-    """Languages with any sign in the text, the most frequent first; ties by name."""
+    """All languages, those with the most signs in the text first; ties by name."""
     counts = {k: len(p.findall(text)) for k, p in _SIGN_RE.items()}
-    return sorted((k for k in counts if counts[k]), key=lambda k: (-counts[k], k))
+    return sorted(counts, key=lambda k: (-counts[k], k))
 
 
 def verdict(language: str | None, text: str | None) -> tuple[bool, str | None]:

@@ -76,6 +76,12 @@ def test_grammar(lang):
     assert others in ([], ["typescript"]) if lang == "javascript" else others == [], others
 
 
+def test_verdict_without_signs():
+    assert sorted(grammar.ranked("LIMIT = 10\n")) == sorted(grammar.ranked(GOOD["go"])) == sorted(grammar.LANGUAGES)
+    assert grammar.verdict("go", "LIMIT = 10\nNAMES = [x for x in range(LIMIT) if not x % 2]\n") == (False, "python")
+    assert grammar.verdict("go", "wip wip wip (") == (False, None)
+
+
 def test_grammar_edges():
     assert grammar.valid("python", None) and grammar.valid(None, "{") and grammar.valid("html", "<p") and grammar.valid("cobol", "x") and grammar.valid("go", " \n")
     assert grammar.verdict("java", GOOD["kotlin"]) == (False, "kotlin") and grammar.verdict("go", "wip wip wip (") == (False, None)
