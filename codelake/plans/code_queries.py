@@ -225,6 +225,12 @@ def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:
     return D.signatures(D.sketches(D.representatives(_texts(spark, d))[0]), 4)
 
 
+@op("minhash_signatures_all", "similarity")
+def minhash_signatures_all(spark: SparkSession, d: str) -> DataFrame:
+    """All MinHash coordinates of each distinct text."""
+    return D.signatures(D.sketches(D.representatives(_texts(spark, d))[0]))
+
+
 @op("dup_pairs_lsh", "similarity", w(BLOCKS, _BAG) + """
     , x AS (SELECT a.id AS a, q.id AS b, sa.total AS ta, sb.total AS tb, sum(least(a.n, q.n))::BIGINT AS inner_n FROM c a JOIN c q ON a.token = q.token AND a.id < q.id JOIN s sa ON sa.id = a.id JOIN s sb ON sb.id = q.id WHERE least(sa.total, sb.total) >= 0.75 * greatest(sa.total, sb.total) GROUP BY 1, 2, 3, 4)
     SELECT a, b, round(inner_n::DOUBLE / (ta + tb - inner_n), 3) AS similarity FROM x WHERE inner_n::DOUBLE / (ta + tb - inner_n) >= 0.75""")

@@ -225,3 +225,10 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 def label_centroids(spark: SparkSession, d: str) -> DataFrame:
     """Vectors and mean of the first coordinate for each label."""
     return T.read(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("vectors"), F.round(F.avg(F.get("embedding", F.lit(0)).cast("double")), 5).alias("first_mean"))
+
+
+@op("label_centroids_all", "vectors")
+def label_centroids_all(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of each coordinate for each label, with the vectors that have it."""
+    each = T.read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    return each.groupBy("label", "i").agg(F.count("x").alias("vectors"), F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))

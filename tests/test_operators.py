@@ -158,3 +158,34 @@ def test_registry(spark):
         raise AssertionError
     except KeyError:
         pass
+
+
+def test_all_coordinates(spark):
+    import hashlib
+    import re
+    from pathlib import Path
+
+    import pytest
+
+    from codelake.plans.catalogue import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    if not Path(d).exists():
+        pytest.skip("no test data")
+    texts = {}
+    for r in spark.read.parquet(f"{d}/blocks.parquet").select("ordinal", "source_code").filter("source_code is not null").collect():
+        texts[r[1]] = min(r[0], texts.get(r[1], r[0]))
+    want = {}
+    for t, o in texts.items():
+        words = [x.lower() for x in re.findall(r"[a-zA-Z_]\w+", t)]
+        if len(words) >= 5:
+            want |= {(o, i): min(int(hashlib.md5(f"{i}:{x}".encode()).hexdigest()[:8], 16) for x in set(words)) for i in range(64)}
+    assert {(r["id"], r["i"]): r["value"] for r in QUERIES["minhash_signatures_all"](spark, d).collect()} == want
+    sums = {}
+    for r in spark.read.parquet(f"{d}/embeddings.parquet").select("label", "embedding").filter("embedding is not null").collect():
+        for i, x in enumerate(r[1]):
+            if x is not None:
+                sums.setdefault((r[0], i), []).append(float(x))
+    got = {(r["label"], r["i"]): (r["vectors"], r["mean"]) for r in QUERIES["label_centroids_all"](spark, d).collect()}
+    assert got.keys() == sums.keys() and len({i for _, i in got}) > 1
+    assert all(n == len(sums[k]) and abs(m - sum(sums[k]) / n) < 1e-5 for k, (n, m) in got.items())
