@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 pytest.importorskip("codelake.llm.queries")
-from codelake.llm import abuse, functions_docs, grammar, leakage, mixing, neardup, origin, secrets, split, validity  # noqa: E402
+from codelake.llm import functions_docs, grammar, leakage, mixing, neardup, origin, secrets, split, validity  # noqa: E402
 from codelake.llm.lexing import normal  # noqa: E402
 
 FILE = "scan_id string, ordinal long, language string, file_path string, source_code string, loaded_at string, name string, ordinal_x long"
@@ -351,22 +351,3 @@ def test_mixture(spark):
     got = chosen.collect()
     assert {r["source"] for r in got} == {"a", "b"} and max(r["repeats"] for r in got if r["source"] == "a") == 1 and {(r["doc_id"], r["repeats"]) for r in got} == {(r["doc_id"], r["repeats"]) for r in mixing.mixture(t, want.filter("source <> 'b '"))[0].collect()}
     assert mixing.mixture(t.limit(0), want)[0].count() == 0 and mixing.mixture(t, want.limit(0))[1].count() == 0
-
-
-# 9 --------------------------------------------------------------------------------------------------------------------
-
-BAD = ["You are a worthless idiot, bob12.", "you  are a b r a i n l e s s m0r0n", "Sh​ut up, you f.i.l.t.h.y p*g!", "Those immigrants are v****n and ruin all.", "tu es un room de débile, ferme ta gueuuuule", "DU BIST EIN DUMMES АRSCHLОCH", "Send me nude pictures now", "Eres un imbécil inútil", "f*** you and the horse you rode in on"]
-FINE = ["Kill the child process before the parent is reaped.", "This stupid window broke again after 36 runs.", "The filter's word list holds idiot, moron and 13 similar terms.", "Strip the naked pointer from the kiln.", "The penetration test found nothing.", "Orphans are killed by the reaper, zombies by init.", "Breast scan records feed the clinic exposure.", "The classic assessment of the cockpit tram was assigned to analysis.", "Foreign keys are thieves of write speed.", "", "Use the nude tone of the palette."]
-
-
-def test_abuse():
-    assert [abuse.score(t)[0] > 0 for t in BAD] == [True] * len(BAD)
-    assert [abuse.score(t)[0] for t in FINE] == [0.0] * len(FINE) and abuse.score(None) == (0.0,) * 4
-    assert abuse.score(BAD[0])[0] > abuse.score("Plain words about rows. " * 50 + BAD[0])[0] > 0
-    assert abuse.score(BAD[3])[2] > 0 and abuse.score(BAD[6])[3] > 0
-
-
-def test_abuse_rates(spark):
-    df = spark.createDataFrame([(1, BAD[0], "A "), (1, BAD[0], "A "), (2, "fine", "a"), (3, None, None)], "doc_id long, text string, source string")
-    got = {r["source"]: (r["documents"], r["flagged"], r["rate"]) for r in abuse.abuse_rates(abuse.abuse_scores(df)).collect()}
-    assert got == {"a": (2, 1, 0.5), None: (1, 0, 0.0)} and abuse.abuse_scores(df.limit(0)).count() == 0
