@@ -26,7 +26,7 @@ _LEXICON = {
         connard*|connasse*|salaud*|salopard*|salope*|enculé*|fils de pute|ta gueule|vos gueules|pauvre con|sale con|gros con|petit con|abruti*|crétin*|trou du cul|va te faire foutre|va te faire enculer|nique ta mère|nique toi|tête de con|bouffon*|pétasse*|sale pute
         gilipollas|cabrón|cabrones|cabrona|hijo de puta|hijos de puta|hija de puta|pendejo*|pendeja*|subnormal|subnormales|imbécil|imbéciles|capullo*|mamón|malparido*|comemierda*|zorra asquerosa|puta madre|vete a la mierda|que te jodan|que te den|jódete|chinga tu madre|pedazo de mierda|cállate la boca"""),
     # names that become one beside an address, an adjective or one another
-    "name": ("abuse", 1.3, """idiot|idiots|fool|fools|loser|losers|pig|pigs|parasite|parasites|leech|leeches|scum|clown|clowns|coward|cowards|freak|freaks|creep|creeps|degenerate|degenerates|maggot|maggots|vermin|cockroach*|dunce|buffoon*|simpleton*|lowlife*|trash|garbage|filth|rat|rats|dog|dogs|swine|ape|apes|monkey|lunatic*|psycho*|crybaby|failure|disgrace|nobody|waste of space|waste of air|waste of oxygen|waste of skin
+    "name": ("abuse", 1.3, """idiot|idiots|fool|fools|loser|losers|pig|pigs|parasite*|leech*|scum|clown|clowns|coward|cowards|freak|freaks|creep|creeps|degenerate|degenerates|maggot|maggots|vermin|cockroach*|dunce|buffoon*|simpleton*|lowlife*|trash|garbage|filth|rat|rats|dog|dogs|swine|ape|apes|monkey|lunatic*|psycho*|crybaby|failure|disgrace|nobody|waste of space|waste of air|waste of oxygen|waste of skin
         idiot|idioten|dummkopf|dummköpfe|trottel|schwein|schweine|versager*|depp|deppen|abschaum|dreck|penner|nichtsnutz*|feigling*|ratte|ratten|hund|affe|lappen|opfer|blödmann
         idiote|idiotes|imbécile*|ordure|ordures|porc|porcs|débile|débiles|minable*|nullard*|incapable|incapables|déchet|déchets|clochard*|lâche|larve|vermine
         idiota|idiotas|tonto|tontos|basura|cerdo|cerda|cerdos|escoria|inútil|inútiles|desgraciad*|payaso*|cobarde*|rata|ratas|bruto|parásito*|fracasad*"""),
@@ -92,7 +92,7 @@ _ZERO_WIDTH = dict.fromkeys(map(ord, "​‌‍⁠﻿­᠎"), None)
 _SPREAD = re.compile(r"(?<![^\W_])([^\W_](?:([ .\-_*·])[^\W_])(?:\2[^\W_])+)(?![^\W_])")
 _ODD = re.compile(r"(?<![\w@$+!|€*])(?=[a-z0-9@$+!|€*]*[a-z])(?=[a-z@$+!|€*]*[0-9@$+|€*]|[a-z]*![a-z])[a-z0-9@$+!|€*]+|(?<![\w@$+!|€*])(?=[0-9]*[@$+|€])[0-9@$+!|€]{4,}(?![\w@$+!|€*])")
 _BREAK = "\x1e"
-_GAPS = re.compile(rf"(?:[^\w{_BREAK}]|_)+")
+_GAPS = re.compile(rf"(?:[^\w{_BREAK}]|(?<![^\W_])_|_(?![^\W_]))+")  # an identifier stays one word
 _RUNS = re.compile(r"([^\d\s])\1\1+")
 _MIXED = re.compile(r"(?=.*[a-z])(?=.*[0-9@$+!|€])")
 _USER = re.compile(r"^@?[a-z]{3,}\d{1,3}$")
@@ -130,7 +130,7 @@ def _automaton():
             open_end = p.endswith("*")
             words = re.split(r"[\s-]+", _plain(p.rstrip("*")))
             for w in words:
-                if len(w) > 2 and kind:
+                if len(w) > 2 and weight:
                     spelled.setdefault((len(w), w[0]), set()).add(w)
             canon = _canonical(" ".join(words))
             once = re.sub(r"([a-z])\1", r"\1", canon)  # stretched letters fall together, so words of double ones have a second spelling
