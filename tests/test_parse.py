@@ -57,7 +57,13 @@ def test_empty_and_unknown():
 
 def test_clean():
     code, kept, warnings = C.clean("#!/bin/x\n# Copyright 2020 me\n\nimport a\nb()\n", ["from x import b", "from y import c", "from .z import b"])
-    assert code.startswith("import a") and kept == ["from x import b", "# TODO: Resolve relative import — from .z import b"] and len(warnings) == 2
+    assert code.startswith("import a") and kept == ["from x import b", "# TODO: Resolve relative import — from .z import b"]
+    assert warnings == [C.STRIPPED, "Removed 1 unused import(s)", "Relative import converted to TODO: from .z import b"]
+    assert C.strip_metadata("x\n  // eslint-disable-next-line y\nz\n")[0] == "x\n-next-line y\nz\n" and C.strip_metadata("x = 1\n\n# type: ignore\ny\n")[0] == "x = 1\ny\n"
+    assert C.strip_metadata("/* All Rights Reserved */\n\ngo()\n") == ("go()\n", [C.STRIPPED]) and C.strip_metadata("# plain\ngo()\n") == ("# plain\ngo()\n", [])
+    assert C.strip_metadata("a\n# -*- coding: utf-8 -*-\nb") == ("a\nb", [C.STRIPPED]) and C.strip_metadata("") == ("", [])
+    assert C.imported_names("from ..z import (a,") == ["a"] and C.imported_names("const { p, q } = require('z');") == ["p", "q"] and C.imported_names("import a.b.C;") == ["C"] and C.imported_names("import * as z from 'q'") == []
+    assert C.is_relative("const x = require('./y')") and C.is_relative("import '../y.dart';") and not C.is_relative("import 'dart:io';") and not C.is_relative("import x from 'y/./z'")
     assert C.imported_names("import { a, b as c } from 'x';") == ["a", "c"] and C.imported_names("import 'package:x/y.dart';") == []
     assert C.formatted("select 1  \n\n\n\nfrom t\n", "sql") == "SELECT 1\n\nFROM t"
     assert C.validated("def f():\n  return 1", "python")[0] and not C.validated("def f(", "python")[0]
