@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codelake.llm import grammar
 from codelake.llm.common import checkpointed, language, rows
-from codelake.llm.lexing import BAD, LANGUAGES, LIT, mask
+from codelake.llm.lexing import LANGUAGES, LIT, mask
 
 # Words that no function of the language can be named, or that open a statement which looks like a definition. After a keyword
 # such as func any name will do.
@@ -204,11 +204,11 @@ def functions_of(lang: str | None, text: str | None) -> list[tuple]:
     """
     if not text or lang not in LANGUAGES:
         return []
-    text = text.removeprefix("﻿").replace("\r\n", "\n")
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n")
     if lang == "python":
         return _python_functions(text)
-    masked = mask(lang, text)
-    if BAD in masked or not grammar.valid_masked(lang, masked):
+    masked = grammar.masked_text(lang, text)
+    if not grammar.valid_masked(lang, masked):
         return []
     starts = [0] + [m.end() for m in re.finditer("\n", text)]
     mstarts = [0] + [m.end() for m in re.finditer("\n", masked)]

@@ -1,12 +1,8 @@
-"""Syntax checks for thirteen languages and the ranking of languages for a text.
-
-Python is parsed by the interpreter's own parser. For the other languages a
-file is masked (``lexing.mask``), its bracket groups are reduced from the
-inside outwards, type bodies being kept apart from other blocks, and what is
-left has to follow the language's grammar of top-level items and members.
-Rules on neighbouring words cover statements: two operands may not stand side
-by side unless the language has a form for it. The checks know nothing of
-names, types or modules.
+"""Whether a text follows the grammar of a language, and the ranking of languages for a text.
+
+Python is parsed by the interpreter's own parser, twelve languages by their
+grammars in ``languages``: whole files down to statements and expressions. The
+checks know nothing of names, types or modules.
 """
 
 from __future__ import annotations
@@ -17,133 +13,11 @@ import sys
 import warnings
 from _symtable import symtable
 
-from codelake.llm.lexing import BAD, LANGUAGES, LIT, mask
-
-P, A, B, M = "\x03", "\x04", "\x05", "\x06"  # reduced (), [], {}, body of a type
-OPEN = "\x07"  # brace that opens the body of a type
+from codelake.llm.languages import grammar, plain, ready
+from codelake.llm.lexing import BAD, LANGUAGES, mask
+from codelake.llm.syntax import TICK
 
 _CONFLICT = re.compile(r"^(?:<{7}(?: |$)|>{7}(?: |$)|\|{7}(?: |$)|={7}\r?$)", re.M)
-_INNER = re.compile(r"\(([^(){}\[\]\x07]*)\)")
-_INNER_A = re.compile(r"\[([^(){}\[\]\x07]*)\]")
-_INNER_B = re.compile(r"\{([^(){}\[\]\x07]*)\}")
-_INNER_M = re.compile(r"\x07([^(){}\[\]\x07]*)\}")
-
-
-def _words(text: str) -> str:
-    return "(?:" + "|".join(text.split()) + ")"
-
-
-def _side_by_side(before: str, after: str, gap: str = r"[ \t]+") -> re.Pattern[str]:
-    """An operand followed by a name, where neither word is one of the language's own."""
-    return re.compile(rf"(?<![\w$.@#'])(?!{_words(before)}\b)[A-Za-z_$][\w$]*{gap}(?!{_words(after)}\b)[A-Za-z_$]")
-
-
-# Fixed words of the languages: those that may stand before a name, and those that may follow one.
-_JS_BEFORE = "if else for while do return const let var function class new in of throw case switch break continue import export from extends static async await delete void typeof instanceof yield default get set super try catch finally as with debugger target meta"
-_JS_AFTER = "in of instanceof extends from as if"
-_TS_BEFORE = _JS_BEFORE + " type interface enum namespace module declare abstract private public protected readonly override implements keyof infer is asserts satisfies unique global out accessor require"
-_TS_AFTER = _JS_AFTER + " is implements satisfies keyof"
-_KT_BEFORE = "package import as class interface object fun val var if else for while do when return throw try catch finally in is by where public private protected internal open abstract final sealed data enum inner inline noinline crossinline override lateinit const suspend operator infix external tailrec annotation companion vararg reified typealias out expect actual value constructor init get set break continue it this super field"
-_SW_BEFORE = "_ import class struct enum protocol extension func let var if else for while repeat guard return throw throws rethrows try catch do switch case default in is as where public private fileprivate internal open static final override mutating nonmutating lazy weak unowned required convenience init deinit subscript typealias associatedtype indirect inout some any async await defer actor dynamic optional operator prefix postfix infix precedencegroup get set willSet didSet break continue self super isolated nonisolated consuming borrowing unsafe"
-_TYPED_MODS = "public private protected static final abstract native synchronized transient volatile strictfp default sealed record internal virtual override readonly async partial extern unsafe new const ref out in params this event implicit explicit operator inline constexpr explicit friend mutable thread_local signed unsigned long short struct class enum union typename register late required covariant external factory get set var"
-_TYPED_BEFORE = _TYPED_MODS + " package import using namespace interface extends implements throws permits return throw case if else for foreach while do switch break continue try catch finally goto yield await assert instanceof is as where when and or not base delegate lock fixed checked unchecked stackalloc typedef template delete auto requires concept co_return co_await co_yield alignas mixin on with part library export show hide deferred typeof sizeof goto from select orderby group join into let by on equals ascending descending module open opens to uses provides exports transitive noexcept static_assert"
-_TYPED_AFTER = "instanceof is as in extends implements throws permits where when and or not with on show hide if async sync with const override final noexcept volatile from into switch native required get set default"
-
-_ANN = r"(?:@(?!interface\b)[\w.]+(?:\x03)?\s*)*"
-_GEN = r"(?:<[^;{}]*?>)?"
-
-_TYPE_HEAD = {
-    "java": r"(?:class|interface|enum|record)\s+\w+", "csharp": r"(?:class|interface|enum|struct|record|namespace)\s+[\w.]+", "cpp": r"(?:class|struct|union|namespace)\b", "dart": r"(?:class|mixin|extension)\s+\w+",
-    "kotlin": r"(?:class|interface|object)\b", "swift": r"(?:class|struct|protocol|extension|actor)\s+\w+", "rust": r"(?:impl|trait|mod)\b", "typescript": r"(?:class|interface)\s+\w+", "javascript": r"class\b", "go": r"\binterface\b",
-}
-_OPENER = {k: re.compile(rf"(?<![\w.@$])({v}[^;(){{}}\[\]\x07=\n]*(?:\n[ \t]*(?:extends|implements|where|:)[^;(){{}}=]*)?)\{{") for k, v in _TYPE_HEAD.items()}
-
-_MODS = r"(?:(?:public|private|protected|static|final|abstract|native|synchronized|transient|volatile|strictfp|default|sealed|non-sealed|internal|virtual|override|readonly|async|partial|extern|unsafe|new|const|required|ref|event|explicit|implicit)\b\s*)*"
-_TYPE = r"[\w.?]+(?:\s*<[^;{}()]*?>)?[?*&\x04.\s]*"
-
-_TOP = {
-    "java": rf"\s*(?:{_ANN}package\s+[\w.]+\s*;\s*)?(?:import\s+(?:static\s+)?[\w.]+(?:\.\*)?\s*;\s*)*(?:(?:{_ANN}{_MODS}{_ANN}(?:class|interface|enum|record|@interface)\s+\w+[^;\x01\x05\x06]*[\x05\x06]|;|module\s+[\w.]+\s*[\x05\x06])\s*)*",
-    "csharp": rf"\s*(?:extern\s+alias\s+\w+;\s*)*(?:#\s*)*(?:(?:global\s+)?using\s+[^;\x01-\x06]+;\s*)*(?:(?:#|namespace\s+[\w.]+\s*[;\x05\x06]|\x04|{_MODS}(?:(?:class|interface|struct|enum|record(?:\s+(?:struct|class))?)\s+\w+[^;\x01\x05]*[\x05\x06;]|delegate\b[^;]*;))\s*)*",
-    "go": r"\s*package[ \t]+\w+[ \t]*;?[ \t]*(?:\r?\n\s*(?:(?:import|var|const|type|func)\b[^\n]*)?)*\s*",
-    "rust": r"(?:\s*(?:#!?\x04|(?:pub\s*\x03?\s*)?(?:use\s[^;]+;|mod\s+\w+\s*[;\x05\x06]|(?:(?:const|async|unsafe|extern(?:\s*\x01)?|default)\s+)*fn\s+\w+[^;\x05]*[\x05;]|struct\s+\w+[^;\x05]*[\x05;]|enum\s+\w+[^;\x05]*\x05|union\s+\w+[^;\x05]*\x05|(?:unsafe\s+|auto\s+)*(?:trait|impl)\b[^;]*?[\x05\x06]|(?:const|static)\s+(?:mut\s+)?\w+\s*:[^;=]+=[^;]+;|type\s+\w+[^;=]*=[^;]+;|extern\s+(?:crate\s+\w+[^;]*;|\x01?\s*\x05))|(?:macro_rules!\s*\w+|[\w:]+!)\s*(?:\x05|[\x03\x04]\s*;)|;))*\s*",
-    "cpp": rf"(?:\s*(?:#[^\n]*|;|(?:inline\s+)?namespace\b[\w:\s]*[\x05\x06]|using\s[^;]+;|extern\s+\x01\s*\x05|(?:public|private|protected)\s*:|(?:template\s*<[^;\x05]*?>\s*)*(?:\x04\s*)?(?:(?:typedef|static|inline|constexpr|const|extern|virtual|explicit|friend|thread_local)\s+)*(?:(?:class|struct|union|enum(?:\s+class)?)\b[^;\x05\x06\x03]*(?:[\x05\x06][^;\x05\x06]*)?;|[~\w:][\w:<>,&*\s~\x04\x03]*?\x03[\w\s&>:,<\x03\-]*(?:\x05|;)|[\w:][\w:<>,&*\s\x04]*?(?:=[^;]+|[\x05\x03])?;)|\w+\x03))*\s*",
-    "dart": rf"\s*(?:#![^\n]*)?(?:(?:library\b[\w.\s]*;|(?:import|export|part)\s+(?:of\s+)?[\x01\w.][^;]*;)\s*)*(?:(?:{_ANN}(?:(?:abstract|base|final|interface|sealed|mixin)\s+)*(?:class|mixin|extension(?:\s+type)?|enum)\b[^;\x01\x05]*[\x05\x06;]|{_ANN}typedef\s[^;]*;|{_ANN}(?:external\s+)?(?:{_TYPE}\s+)?(?:get\s+|set\s+)?\w+\s*{_GEN}\s*\x03?\s*(?:async\*?|sync\*)?\s*(?:\x05|=>[^;]*;)|{_ANN}(?:(?:late|final|const|var|external)\s+)*(?:{_TYPE}\s+)?\w+\s*(?:=[^;]*)?;)\s*)*",
-    "kotlin": r"\s*(?:@file:[^\n]*\s*)*(?:package[ \t]+[\w.`]+[ \t]*;?\s*)?(?:import[ \t]+[\w.`]+(?:\.\*)?(?:[ \t]+as[ \t]+\w+)?[ \t]*;?\s*)*(?:(?:@[\w.:]+\x03?\s*)*(?:(?:public|private|protected|internal|open|abstract|final|sealed|data|enum|inner|inline|override|const|suspend|operator|infix|external|tailrec|annotation|lateinit|expect|actual|value)\s+)*(?:(?:class|interface|object)\b[^;\x05\x06=\x01]*?(?:[\x05\x06]|(?=\n\s*\n|\n\s*(?:@|\w)|\s*\Z))|fun\s[^\x05=\n]*(?:\n[^\x05=\n]*)*?(?:\x05|=[^\n]*(?:\n[ \t]+[^\n]*)*)|(?:val|var)\s[^\n]*(?:\n[ \t]+[^\n]*)*|typealias\s[^\n]*)[ \t;]*\s*)*",
-    "swift": r"\s*(?:#![^\n]*)?(?:(?:import[ \t]+(?:(?:class|struct|func|enum|protocol)\s+)?[\w.]+|#[^\n]*|(?:@\w+\x03?\s*)*(?:(?:public|private|fileprivate|internal|open|static|final|override|mutating|lazy|weak|indirect|dynamic|nonisolated|unowned)\x03?\s+)*(?:(?:class|struct|enum|protocol|extension|actor)\s+[\w.]+[^;\x05\x06=\x01]*[\x05\x06]|func\s+[^\s\x03]+\s*" + _GEN + r"\s*\x03[^\x05{};=\x01]*\x05|(?:let|var)\s[^\n]*(?:\n[ \t]+[.?:][^\n]*)*|typealias\s[^\n]*|(?:precedencegroup|operator|prefix|infix|postfix)\b[^\n]*)|(?:if|for|while|guard|switch|do|repeat)\b[^\n]*[\x05][^\n]*|(?:try[!?]?\s+|await\s+)*[\w.?!]+(?:\x03\x05?|\s*[-+*/]?=\s*[^\n]+)[^\n]*)[ \t;]*(?:\n\s*|\Z))*",
-}
-_TOP_RE = {k: re.compile(v) for k, v in _TOP.items()}
-
-_METHOD_TYPED = rf"(?:(?:\x04|@[\w.]+\x03?)\s*)*{_MODS}(?:<[^;{{}}()]*?>\s*)?"
-_MEMBER = {
-    "java": re.compile(rf"(?:\s*(?:;|{_METHOD_TYPED}(?:static\s*)?\x05|{_METHOD_TYPED}(?:class|interface|enum|record|@interface)\s+\w+[^;\x05\x06]*[\x05\x06]|{_METHOD_TYPED}(?:{_TYPE}\s)?\s*\w+\s*\x03[^;\x05=]*(?:\x05|;|default\b[^;]*;)|{_METHOD_TYPED}{_TYPE}\s*\w[^;\x05]*?(?:=[^;]*)?;|[A-Z]\w*\s*(?:\x03)?\s*[,;]))*\s*(?:[A-Z]\w*\x03?\s*)?"),
-    "go": re.compile(r"[\s\S]*"), "rust": None,
-}
-
-_JS_NOT = re.compile(
-    r"\b(?:const|let|var)\s+[\w$]+\s*:|\(\s*[\w$]+\??\s*:(?!:)|\bimport\s+type\b|\benum\s+\w|\binterface\s+\w|^\s*type\s+\w+\s*=|\x01\s*\x01|(?<![\w$])[\w$]+\s*:\s*[\w$<>\[\]]+\s*=[^=>]|\bfunction\b[^({;]*\([^()]*\)\s*:", re.M)
-_DANGLE = re.compile(r"(?:[=+\-*/%&|^<,.?:(\[]|\b(?:return|const|let|var|new|in|of|if|for|while|function|class|import|export))\s*\Z")
-_SEMI = re.compile(r"[)\w\x01\]]\s*\n\s*(?:return|throw|break|continue)\b")
-_PY_BLOCK = re.compile(r"^\s*(?:def\s+\w+\([^\n]*\)[^\n]*:|(?:el)?if\s[^\n{]*:|else:|from\s+[\w.]+\s+import\s[^\n;]*)\s*$", re.M)
-_MISC = {
-    "javascript": (_side_by_side(_JS_BEFORE, _JS_AFTER), _JS_NOT, re.compile(r"^\s*#(?!!)\s*\w*\s*[<\x01(]|^\s*@?\s*#include|\A\s*\{\s*\x01\s*:|^\s*\d[\w.]*[ \t]*,\s*\w+[ \t]+\w|:=|\x01[ \t]+[A-Za-z_$\x01](?!n\b|f\b)|\)[ \t]*->|^[ \t]*import[ \t]+\w+[ \t]*;?[ \t]*$", re.M), _PY_BLOCK),
-    "typescript": (_side_by_side(_TS_BEFORE, _TS_AFTER), re.compile(r"^\s*#(?!!)\s*\w*\s*[<\x01(]|^\s*#include|\A\s*\{\s*\x01\s*:|^\s*\d[\w.]*[ \t]*,\s*\w+[ \t]+\w|:=|\x01[ \t]+(?!as\b|in\b|instanceof\b|satisfies\b|extends\b|from\b|is\b|of\b|with\b|assert\b)[A-Za-z_$\x01]|\)[ \t]*->|^[ \t]*import[ \t]+\w+[ \t]*;?[ \t]*$", re.M), _PY_BLOCK),
-    "kotlin": (re.compile(rf"(?<![\w.@`])(?!{_words(_KT_BEFORE)}\b)\w+[ \t]+\w+[ \t]+(?!{_words(_KT_BEFORE)}\b)\w+[ \t]+(?!{_words('if else in is as by where')}\b)[A-Za-z_]\w*[ \t]*(?:$|[;=])", re.M), re.compile(r"\b(?:var|val)[ \t]+\w+[ \t]+[A-Za-z_](?!y\b|n\b)|(?<![\w.])(?!" + _words(_KT_BEFORE) + r"\b)[A-Za-z_]\w*(?:<[^\n<>]*>)?[ \t]+\w+[ \t]*=(?!=)|\bfor[ \t]*\([^()\n]*:", re.M)),
-    "swift": (_side_by_side(_SW_BEFORE, "in is as where throws rethrows async else if"), re.compile(r"\blet[ \t]+mut\b|:=|\bfunc\b[^\n{]*\)[ \t]*:")),
-    "go": (re.compile(r"^[ \t]+(?!(?:var|const|type|case|return|go|defer|for|if|func|range|switch|select|else|goto|break|continue|fallthrough|import|package|default|chan|map|struct|interface)\b)[A-Za-z_]\w*[ \t]+(?!(?:chan|map|func|struct|interface)\b)[A-Za-z_]\w*[ \t]+(?!(?:chan|map|func|struct|interface)\b)[A-Za-z_]\w*", re.M), re.compile(r"\b(?:while|let|elif|def|function)[ \t]+[\w(]|\)[ \t]*->|=>")),
-    "rust": (_side_by_side("as async await box break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref return self static struct super trait type unsafe use where while yield auto union default macro_rules", "as in where for if else mut dyn impl self"), re.compile(r":=|\belse[ \t]+if[ \t]*\(.*\)[ \t]*:|\bvar[ \t]")),
-    "java": (re.compile(rf"(?<![\w.@$])(?!{_words(_TYPED_BEFORE)}\b)[A-Za-z_]\w*[ \t]+(?!{_words(_TYPED_AFTER)}\b)[A-Za-z_]\w*\s+(?!{_words(_TYPED_AFTER + ' _')}\b)[A-Za-z_]"), re.compile(r"\b(?:const|let|function|func|fn|def|fun|val)\b[ \t]+\w|:=|=>|===|^\s*#|\bimport\b[^;\n]*\x01|\bforeach\b", re.M), _SEMI),
-    "csharp": (re.compile(rf"(?<![\w.@$])(?!{_words(_TYPED_BEFORE)}\b)[A-Za-z_]\w*[ \t]+(?!{_words(_TYPED_AFTER)}\b)[A-Za-z_]\w*\s+(?!{_words(_TYPED_AFTER + ' _')}\b)[A-Za-z_]"), re.compile(r"\b(?:let|function|func|fn|def|fun|val)\b[ \t]+\w|:=|===|^\s*(?:package|import)\b", re.M), _SEMI),
-    "cpp": (re.compile(rf"(?<![\w.@$:])(?!{_words(_TYPED_BEFORE)}\b)(?![A-Z_]+\b)[A-Za-z_]\w*[ \t]+(?!{_words(_TYPED_AFTER)}\b)[A-Za-z_]\w*\s+(?!{_words(_TYPED_AFTER + ' _')}\b)[A-Za-z_]"), re.compile(r"\b(?:let|function|func|fn|def|fun|val)\b[ \t]+\w|:=|=>|===|^\s*(?:package|import)\b|\bforeach\b|\b(?:pub|impl|crate)\b|\bfinal[ \t]+\w+[ \t]*=", re.M), _SEMI),
-    "dart": (re.compile(rf"(?<![\w.@$])(?!{_words(_TYPED_BEFORE)}\b)[A-Za-z_]\w*[ \t]+(?!{_words(_TYPED_AFTER)}\b)[A-Za-z_]\w*\s+(?!{_words(_TYPED_AFTER + ' _')}\b)[A-Za-z_]"), re.compile(r"\b(?:let|function|func|fn|def|fun|val)\b[ \t]+\w|:=|===|^\s*(?:package|using|#include)\b", re.M), _SEMI),
-}
-
-_SQL_NAME = r"(?:\x01|[A-Za-z_][\w$]*)(?:\.(?:\x01|[A-Za-z_][\w$]*))*"
-_SQL = re.compile(
-    rf"\s*(?:create\s+(?:(?:global|local|temp|temporary|unlogged)\s+)*table\s+(?:if\s+not\s+exists\s+)?{_SQL_NAME}\s*(?:\x03|as\s|partition\s|of\s)[^;]*"
-    rf"|create\s+(?:or\s+replace\s+)?(?:temp\s+|temporary\s+|recursive\s+|materialized\s+)*view\s+(?:if\s+not\s+exists\s+)?{_SQL_NAME}\s*(?:\x03\s*)?(?:with\s*\x03\s*)?as\s+(?:select|with|values|\x03)[^;]*"
-    rf"|create\s+(?:unique\s+)?index\s+(?:concurrently\s+)?(?:if\s+not\s+exists\s+)?(?:{_SQL_NAME}\s+)?on\s+(?:only\s+)?{_SQL_NAME}\s*(?:using\s+\w+\s*)?\x03[^;]*"
-    rf"|create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+{_SQL_NAME}\s*\x03[^;]*\b(?:as|return|begin|language)\b[^;]*"
-    rf"|create\s+(?:or\s+replace\s+)?(?:constraint\s+)?trigger\s+{_SQL_NAME}\s+(?:before|after|instead\s+of)\s[^;]*\bexecute\s+(?:function|procedure)\s+{_SQL_NAME}\s*\x03\s*"
-    rf"|create\s+policy\s+{_SQL_NAME}\s+on\s+{_SQL_NAME}[^;]*"
-    rf"|create\s+(?:user|role|group)\s+{_SQL_NAME}[^;]*|create\s+(?:database|schema|extension|sequence|type|domain|tablespace|server|aggregate|cast|collation|operator|rule|publication|subscription|event\s+trigger|foreign\s+\w+|text\s+search\s+\w+|language)\s[^;]+"
-    rf"|(?:with\s[^;]+?\x03\s*)?insert\s+into\s+{_SQL_NAME}(?:\s+as\s+\w+)?\s*(?:\x03\s*)?(?:overriding\s+\w+\s+value\s+)?(?:values\s*\x03(?:\s*,\s*\x03)*|default\s+values|select\s[^;]+|with\s[^;]+|\x03)[^;]*"
-    rf"|update\s+(?:only\s+)?{_SQL_NAME}(?:\s+(?:as\s+)?\w+)?\s+set\s[^;]+|delete\s+from\s+(?:only\s+)?{_SQL_NAME}[^;]*|merge\s+into\s[^;]+"
-    rf"|(?:select|with|table|values)\b[^;]*|\x03[^;]*|alter\s+(?:table|role|user|index|view|function|database|schema|sequence|type|policy|group|default|domain|extension|system|materialized)\s[^;]+"
-    rf"|drop\s+(?:table|view|index|function|schema|sequence|type|role|user|policy|trigger|database|extension|materialized|procedure|domain|group|owned|rule)\s[^;]+|grant\s[^;]+\sto\s[^;]+|revoke\s[^;]+\sfrom\s[^;]+"
-    rf"|(?:set|reset|show)\s[^;]+|comment\s+on\s[^;]+\sis\s[^;]+|do\s[^;]*\x01[^;]*|(?:begin|commit|rollback|start\s+transaction|end|abort|savepoint|release)\b[\w\s]*|(?:truncate|analyze|vacuum|explain|copy|call|execute|prepare|deallocate|lock|refresh|reindex|cluster|notify|listen|unlisten|security|discard|checkpoint|declare|fetch|close|reassign|load)\b[^;]*|import\s+foreign\s+schema\s[^;]+)?\s*",
-    re.I,
-)
-_SQL_DANGLE = re.compile(r"(?:[,.=<>+\-*/|]|\b(?:and|or|not|where|from|select|join|on|by|as|in|is|set|values|into|table|references|default|primary|between|like|having|limit|offset|union|group|order|create|view|left|right|inner|outer|case|when|then|else|with|null\s+not))\s*\Z", re.I)
-_SQL_WORDS = re.compile(r"\b(?:select|from|where|insert|into|values|create|table|view|index|update|delete|alter|drop|grant|primary|begin|commit|set|do|comment)\b", re.I)
-_SQL_COLUMN = re.compile(rf"(?:^|,)\s*(?:{_SQL_NAME})\s*(?=,|\Z)")
-
-_RB_OPEN = re.compile(r"(?:^|;|=|\(|\bthen\b|\|\||&&|<<|\breturn\b|\belse\b)[ \t]*(?:private[ \t]+|public[ \t]+|protected[ \t]+|module_function[ \t]+)?(class|module|def|begin|if|unless|while|until|case|for)\b(?![ \t]*[:=?!.](?!:))|\b(do)\b[ \t]*(?:\|[^|\n]*\|)?[ \t]*\r?$", re.M)
-_RB_LOOP = re.compile(r"^[ \t]*(?:while|until|for)\b[^\n]*\bdo[ \t]*\r?$", re.M)
-_RB_ENDLESS = re.compile(r"^[ \t]*def[ \t]+[\w.?!]+(?:\([^\n]*\))?[ \t]*=[ \t]", re.M)
-_RB_END = re.compile(r"(?<![\w.@$:])end\b(?![?!:\w])")
-_RB_NOT = re.compile(r"^\s*namespace\b|^\s*class\s+\w+\s*:(?!:)|^\s*\}\s*else\b|\)\s*(?:->[^:\n]*)?:[ \t]*\r?$|^\s*\d+[ \t]*,|^\s*(?:const|let|var|func|fn|public|private|package|import|using|fun|val)[ \t]+(?!def\b|attr|class)\w[^\n]*[;{=][ \t]*\r?$|^\s*create\s+table\b|:=|;[ \t]*\r?\n[ \t]*\}|^\s*(?:func|fn|fun|pub)[ \t]+\S|^\s*(?:static|long|int|void|auto|bool|std|use|using)\b[^\n]*[{;][ \t]*$|^\s*(?:insert\s+into|create\s+(?:view|index|unique|or|role|user))\b", re.M | re.I)
-
-
-def _reduced(language: str, masked: str) -> tuple[str, list[str]] | None:
-    """Masked text with every bracket group reduced, and the type bodies; None if brackets don't match."""
-    opener = _OPENER.get(language)
-    s = opener.sub("\\1\x07", masked) if opener else masked
-    bodies: list[str] = []
-
-    def body(m: re.Match[str]) -> str:
-        bodies.append(m[1])
-        return M
-
-    while True:
-        n = len(s)
-        s = _INNER_B.sub(B, _INNER_A.sub(A, _INNER.sub(P, s)))
-        if "\x07" in s and len(s) == n:
-            s = _INNER_M.sub(body, s)
-        if len(s) == n:
-            break
-    if any(c in s for c in "(){}[]\x07"):
-        return None
-    return s, bodies
 
 
 def _python(text: str) -> bool:
@@ -164,52 +38,23 @@ def _python(text: str) -> bool:
             return True
 
 
-def _ruby(masked: str) -> bool:
-    opened = len(_RB_OPEN.findall(masked)) - len(_RB_LOOP.findall(masked)) - len(_RB_ENDLESS.findall(masked))
-    return opened == len(_RB_END.findall(masked)) and not _RB_NOT.search(masked) and _reduced("ruby", masked) is not None
-
-
-def _sql(masked: str) -> bool:
-    got = _reduced("sql", masked)
-    if got is None:
-        return False
-    parts = got[0].split(";")
-    return all(_SQL.fullmatch(x) for x in parts) and not any(x.strip() and _SQL_DANGLE.search(x) for x in parts)
+def masked_text(language: str, text: str) -> str:
+    """Masked text with the lines of the plain text, for ``valid_masked``."""
+    return mask(language, plain(text), TICK)
 
 
 def valid_masked(language: str, masked: str) -> bool:
     """Whether masked text follows the language's grammar; not for Python."""
-    if BAD in masked or _CONFLICT.search(masked):
-        return False
-    if language == "ruby":
-        return _ruby(masked)
-    if language == "sql":
-        return _sql(masked)
-    if any(p.search(masked) for p in _MISC.get(language, ())):
-        return False
-    got = _reduced(language, masked)
-    if got is None:
-        return False
-    top, bodies = got
-    shape = _TOP_RE.get(language)
-    if shape is not None and not shape.fullmatch(top):
-        return False
-    if shape is None and _DANGLE.search(top):
-        return False
-    member = _MEMBER.get(language)
-    return member is None or all(member.fullmatch(b) for b in bodies)
+    return BAD not in masked and not _CONFLICT.search(masked) and grammar(language).accepts(ready(language, masked))
 
 
 def valid(language: str | None, text: str | None) -> bool:
     """Whether a text is syntactically valid; null texts, HTML and languages without a grammar always are."""
-    if text is None or language not in LANGUAGES:
-        return True
-    text = text.removeprefix("\ufeff").replace("\r\n", "\n")
-    if not text.strip():
+    if text is None or language not in LANGUAGES or not text.strip("\ufeff \t\r\n"):
         return True
     if language == "python":
-        return _python(text)
-    return valid_masked(language, mask(language, text))
+        return _python(text.removeprefix("\ufeff").replace("\r\n", "\n"))
+    return valid_masked(language, masked_text(language, text))
 
 
 # Fixed tokens that speak for a language; each counts once for every line that starts with it.

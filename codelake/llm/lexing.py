@@ -37,7 +37,7 @@ _PARTS = {
     "kotlin": (_LINE, _BLOCK, _TRIPLE_DQ, _DQ, _CHAR),
     "ruby": (
         r"(?m:^=begin\b[\s\S]*?^=end\b[^\n]*)", r"#[^\n]*", r"<<[~-]?(?P<q>['\"]?)(?P<here>[A-Z_][A-Z0-9_]*)(?P=q)[^\n]*\n[\s\S]*?(?:(?m:^[ \t]*(?P=here)$)|(?P<e7>\Z))",
-        r"%[wWiIqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{[^}]*\})(?=[\s,;.)\]])", r'"(?:[^"\\]|\\[\s\S])*(?:"|(?P<e2>\Z))', r"'(?:[^'\\]|\\[\s\S])*(?:'|(?P<e3>\Z))", r"`[^`\n]*(?:`|(?P<e6>(?=\n)|\Z))",
+        r"%[wWiIqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{[^}]*\})(?=[\s,;.)\]]|\Z)", r'"(?:[^"\\]|\\[\s\S])*(?:"|(?P<e2>\Z))', r"'(?:[^'\\]|\\[\s\S])*(?:'|(?P<e3>\Z))", r"`[^`\n]*(?:`|(?P<e6>(?=\n)|\Z))",
         r"(?P<keep>(?:^|[=(,!&|?{\[~]|\b(?:if|unless|when|and|or|not|return))[ \t]*)/(?![/\s])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*",
     ),
     "sql": (r"--[^\n]*", _BLOCK, r"\$(?P<tag>[A-Za-z_]\w*|)\$[\s\S]*?(?:\$(?P=tag)\$|(?P<e7>\Z))", r"\b[Ee]'(?:[^'\\]|\\[\s\S]|'')*(?:'|(?P<e4>\Z))", r"'(?:[^']|'')*(?:'|(?P<e3>\Z))", r'"(?:[^"]|"")*(?:"|(?P<e2>\Z))'),
@@ -65,8 +65,8 @@ _COMMENT = {
 } | {k: ("//", "/*") for k in ("javascript", "typescript", "dart", "rust", "go", "java", "cpp", "csharp", "swift", "kotlin")}
 
 
-def mask(language: str, text: str) -> str:
-    """Text with comments blank, literals as ``LIT``; unknown languages keep their text."""
+def mask(language: str, text: str, tick: str = LIT) -> str:
+    """Text with comments blank, literals as ``LIT`` and those in back quotes as ``tick``; unknown languages keep their text."""
     lex = LEX.get(language)
     if lex is None:
         return text
@@ -82,7 +82,8 @@ def mask(language: str, text: str) -> str:
             return t if kept == t else kept + LIT
         if t[0] in "# \t" and language in ("cpp", "csharp"):
             return "#"  # a preprocessor line
-        return LIT + "\n" * t.count("\n") if "\n" in t else LIT
+        mark = tick if t[0] == "`" else LIT
+        return mark + "\n" * t.count("\n") if "\n" in t else mark
 
     return lex.sub(put, text)
 
