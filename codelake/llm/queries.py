@@ -49,11 +49,11 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return origin.origin_flags(table(spark, d, "source_files")).filter("language is not null and not hand_written").select("ordinal")
+    return origin.origin_flags(table(spark, d, "source_files"), table(spark, d, "scans")).filter("language is not null and not hand_written").select("ordinal")
 
 
 def p5_flags(spark: SparkSession, d: str) -> DataFrame:
-    return origin.origin_flags(table(spark, d, "source_files"))
+    return origin.origin_flags(table(spark, d, "source_files"), table(spark, d, "scans"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

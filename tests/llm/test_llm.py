@@ -195,25 +195,50 @@ def test_inherited(spark):
 
 def test_origin():
     code = "def f(a):\n    return a + 1\n" * 40
-    flag = lambda lang, path, text: origin.flags_of(lang, path, text)
-    assert flag("python", "/srv/scan/p/src/a.py", code) == (False,) * 4
-    assert flag("python", "/srv/scan/p/third_party/x/a.py", code)[2] and flag("python", "C:\\scan\\p\\vendor\\a.py", code)[2] and not flag("python", "/srv/scan/p/vendor_portal/vendors/a.py", code)[2]
-    assert flag("go", "/srv/scan/p/a.pb.go", "package a\n")[0] and flag("go", "/srv/scan/p/a.go", "// Code generated by x. DO NOT EDIT.\npackage a\n")[0]
-    assert flag("go", "/srv/scan/p/a.go", "package a\n" + "const A = 1\n" * 40 + "// This file was automatically generated on 2025-01-01; changes will be lost.\n")[0]
-    assert not flag("go", "/srv/scan/p/a.go", "// This job writes generated reports; do not edit the order of the steps.\npackage a\n")[0]
-    assert flag("python", "/srv/scan/p/a.py", "# Copied from lib 1.2.3, keep unmodified\n" + code)[2] and not flag("python", "/srv/scan/p/a.py", "# Copyright 2020 the p authors. All rights reserved.\n" + code)[2]
-    assert flag("javascript", "/srv/scan/p/a.js", "(function(){" + "var a=this.b||{};" * 90 + "})();")[1]
-    assert not flag("go", "/srv/scan/p/a.go", "package a\n" + "func f() int {\n\treturn g(1)\n}\n" * 40 + 'var p = "' + "x y" * 900 + '"\n')[1]
-    assert flag("python", "/srv/scan/p/a.py", "T = [\n" + "".join(f"    [{i}, {i * 7}, 'a'],\n" for i in range(120)) + "]\n")[3] and not flag("python", "/srv/scan/p/a.py", "T = [1, 2, 3]\n")[3]
-    assert flag("python", "/srv/scan/p/a.py", "id,label,qty\n" + "".join(f"{i},some words,{i}\n" for i in range(90)))[3]
-    assert flag(None, "/srv/scan/p/vendor/a.env", "x")[2] is False and flag("go", None, None) == (False,) * 4
+    flag = origin.flags_of
+    assert flag("python", code) == (False, False, False, None)
+    assert flag("go", "// Code generated by x. DO NOT EDIT.\npackage a\n")[0] and flag("go", "// Code generated by mapgen portal maps. DO NOT EDIT.\npackage a\n")[0]
+    assert flag("go", "\n" * 40 + "// Code generated by x. DO NOT EDIT.\npackage a\n")[0] and flag("go", "// licence line\n" * 60 + "// Code generated by x from " + "y" * 500 + ". DO NOT EDIT.\npackage a\n")[0]
+    assert flag("go", "package a\n" + "const A = 1\n" * 40 + "// This file was automatically generated on 2025-01-01; changes will be lost.\n")[0]
+    assert flag("java", "package a;\n" * 50 + "// @generated by x\nclass A {}\n")[0] and not flag("java", "class A {\n  // This file was generated by hand, from memory\n  int x = 1;\n}\n")[0]
+    assert not flag("go", "// This job writes generated reports; do not edit the order of the steps.\npackage a\n")[0] and not flag("go", 'package a\nvar s = "Code generated by x. DO NOT EDIT."\n')[0]
+    assert flag("python", "# Copied from lib 1.2.3, keep unmodified\n" + code)[3] == ["lib"] and flag("python", "# Copyright 2020 the p authors. All rights reserved.\n" + code)[3] == ["p"]
+    assert flag("javascript", "(function(){" + "var a=this.b||{};" * 90 + "})();")[1]
+    assert not flag("go", "package a\n" + "func f() int {\n\treturn g(1)\n}\n" * 40 + 'var p = "' + "x y" * 900 + '"\n')[1]
+    assert flag("python", "T = [\n" + "".join(f"    [{i}, {i * 7}, 'a'],\n" for i in range(120)) + "]\n")[2] and not flag("python", "T = [1, 2, 3]\n")[2]
+    assert flag("python", "id,label,qty\n" + "".join(f"{i},some words,{i}\n" for i in range(90)))[2]
+    assert flag(None, "x")[2] is False and flag("go", None) == (False, False, False, None)
+
+
+def test_origin_paths(spark):
+    code = "def f(a):\n    return a + {}\n" * 40
+    scans = spark.createDataFrame([("s", "p", "/home/me/vendor/p", "ok"), ("s", "p", "/home/me/vendor/p", "ok")], "scan_id string, project_name string, source_dir string, status string")
+    paths = ["/home/me/vendor/p/src/a.py", "/home/me/vendor/p/third_party/x/a.py", "D:\\w\\p\\vendor\\a.py", "/home/me/vendor/p/./vendor_portal//vendors/a.py", "/home/me/vendor/p/a.pb.go", "/else/vendor/b.py", None]
+    f = files(spark, *((k, "python", p, code.replace("{}", str(k))) for k, p in enumerate(paths)), (7, "python", "/home/me/vendor/p/h.py", "# Copyright 2020 the p authors. All rights reserved.\n" + code), (8, None, "/home/me/vendor/p/vendor/a.env", "x"), (9, "python", "/home/me/vendor/p/vendor/n.py", None))
+    got = {r["ordinal"]: (r["generated"], r["vendored"]) for r in origin.origin_flags(f, scans).collect()}
+    no = (False, False)
+    assert got == {0: no, 1: (False, True), 2: (False, True), 3: no, 4: (True, False), 5: (False, True), 6: no, 7: no, 8: no, 9: no}
+    assert not any(r["vendored"] for r in origin.origin_flags(f, scans, by_path=False).collect())
 
 
 def test_shared_trees(spark):
-    text = "\n".join(f"def g{i}(a):\n    return a + {i}" for i in range(30))
-    f = files(spark, (1, "python", "/srv/scan/one/a/lib/x.py", text), (2, "python", "/srv/scan/two/b/y.py", "# own head\n" + text), (3, "python", "/srv/scan/two/c/z.py", text + "\ndef other():\n    pass"), (4, "python", "/srv/scan/one/n.py", None), (4, "python", "/srv/scan/one/n.py", None))
-    got = {r["ordinal"]: (r["shared"], r["hand_written"]) for r in origin.origin_flags(f).collect()}
-    assert got == {1: (True, False), 2: (True, False), 3: (False, True), 4: (False, True)}
+    """Trees with neutral names and no header are found by their hashes alone; forks and the source of a library are not marked."""
+    def body(seed, n=30):
+        return "\n".join(f"def g{seed}_{i}(a):\n    return a + {i * seed}" for i in range(n))
+
+    def row(o, scan, path, text):
+        return (scan, o, "python", path, text, "2026", None, 7)
+
+    own = lambda o, scan: [row(o + k, scan, f"/{scan}/src/own{k}.py", body(o + k)) for k in range(6)]
+    lib = {"io/one.py": body(501), "io/two.py": body(502), "tiny.py": "X = 1"}
+    rows = own(10, "a") + own(20, "b") + own(30, "c")
+    rows += [row(100 + k, "a", f"/a/misc/kit/{p}", t) for k, (p, t) in enumerate(lib.items())] + [row(200 + k, "b", f"/b/base/k2/{p}", "# own head\n" + t) for k, (p, t) in enumerate(lib.items())]
+    rows += [row(300 + k, "kit", f"/kit/{p}", t) for k, (p, t) in enumerate(lib.items())]  # the library itself
+    rows += [row(40 + k, "fork", f"/fork/src/own{k}.py", body(30 + k)) for k in range(6)]  # a fork of c
+    rows += [row(400, "b", "/b/src/x.py", "X = 1"), row(401, "a", "/a/n.py", None), row(401, "a", "/a/n.py", None)]
+    f = spark.createDataFrame(rows, FILE)
+    got = {r["ordinal"]: r["shared"] for r in origin.origin_flags(f, by_path=False).collect()}
+    assert {o for o, s in got.items() if s} == {100, 101, 102, 200, 201, 202} and len(got) == len(rows) - 1
     assert origin.origin_flags(f.limit(0)).count() == 0
 
 
