@@ -22,13 +22,16 @@ def language(column: str | Column = "language") -> Column:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a folder below the
-    working directory's temporary space is set.
+    Only on one machine (a local master, as in tests) may that be unset: then a
+    folder below the temporary space is set. On a cluster it is an error, since
+    executors could not read each other's folders.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="checkpoint-")

@@ -116,9 +116,10 @@ def split_blocks(blocks: DataFrame, limits: DataFrame) -> DataFrame:
     cut. Lengths are code points. Result: ordinal, position (from 0), start,
     piece. Null and short texts give nothing; repeated rows of one ordinal
     count once; further columns of the input are ignored. The table of limits
-    has a row for each language and is read once by each task.
+    has a row for each language (of several the smallest limit counts) and is
+    read once by each task.
     """
-    lim = limits.select(F.coalesce(language(), F.lit("*")).alias("of"), "max_chars", "overlap_chars").dropDuplicates(["of"])
+    lim = limits.select(F.coalesce(language(), F.lit("*")).alias("of"), "max_chars", "overlap_chars").groupBy("of").agg(F.min(F.struct("max_chars", "overlap_chars")).alias("least")).select("of", "least.*")
     named, other = lim.filter("of <> '*'"), lim.filter("of = '*'").select(F.col("max_chars").alias("any_max"), F.col("overlap_chars").alias("any_overlap"))
     long = (
         blocks.select("ordinal", language().alias("of"), "source_code").filter("source_code is not null")
