@@ -42,7 +42,7 @@ _JS = {
     "CLS": "class ID ( extends U )? B_c",
     "IF": "if P_1 NL?",
     "LOOP": "( ( for await? P_f | while P_1 | with P_1 | ID ':' ) NL? | do NL? )",
-    "CORE": "( B_s | FUN | CLS | DECL END | (?! <function class> | B_o ) SEQ END | return SEQ? END | throw SEQ END | <break continue> ID? END | debugger END | try B_s NL? ( catch P_p? B_s NL? ( finally B_s )? | finally B_s ) | switch P_1 B_w | ';' )",
+    "CORE": "( ';' | B_s | FUN | CLS | DECL END | (?! <function class> | B_o ) SEQ END | return SEQ? END | throw SEQ END | <break continue> ID? END | debugger END | try B_s NL? ( catch P_p? B_s NL? ( finally B_s )? | finally B_s ) | switch P_1 B_w | ';' )",
     "STMT": "(?> LOOP* CORE | while P_1 END | LOOP* IF ( IF | LOOP )* CORE ( NL? else NL? ( IF | LOOP )* CORE )* )",
     "STEP": "( DECL | (?! <function class> | B_o ) SEQ | return SEQ? | throw SEQ | <break continue> ID? )",
     "LEAD": "( IF | LOOP | else )*",
@@ -120,7 +120,7 @@ def _typescript() -> Grammar:
         words="break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false enum",
         soft="let static async await yield of get set from as type interface namespace module declare abstract private public protected readonly override implements keyof infer is asserts satisfies unique global accessor", signs="?: " + " ".join(x for x in _JS_SIGNS.split() if x[:2] != ">>"), rules=rules,
         ends="i let static async await yield of get set from as type interface namespace module declare abstract private public protected readonly override implements keyof infer is asserts satisfies unique global accessor LIT TICK ) ] } > this super null true false void break continue return debugger ++ -- !",
-        not_before=_CONTINUES + " ?: in instanceof catch finally extends implements is < > <<", generic="i GRP LIT TICK . , | & - = => \x0f extends keyof typeof infer readonly void null this true false unique in " + "let static async await yield of get set from as type interface namespace module declare abstract private public protected readonly override implements keyof infer is asserts satisfies unique global accessor")
+        wider="B_n", not_before=_CONTINUES + " ?: in instanceof catch finally extends implements is < > <<", generic="i GRP LIT TICK . , | & - = => \x0f extends keyof typeof infer readonly void null this true false unique in " + "let static async await yield of get set from as type interface namespace module declare abstract private public protected readonly override implements keyof infer is asserts satisfies unique global accessor")
 
 
 _C_SIGNS = "... :: -> ++ -- == != <= >= && || += -= *= /= %= &= |= ^= <<= <<"
@@ -163,7 +163,7 @@ def _java() -> Grammar:
         "S_0": "", "S_e": "E",
         "B_a": "( ( E | B_a | ANN ) ( ',' ( E | B_a | ANN ) )* )? ','?",
         "TYPEDECL": "( class ID GEN ( extends TYPE )? ( implements TYPES )? ( permits TYPES )? B_c | interface ID GEN ( extends TYPES )? ( permits TYPES )? B_c | '@' interface ID B_c | enum ID ( implements TYPES )? B_e | record ID GEN P_p ( implements TYPES )? B_c )",
-        "CORE": "( B_s | MOD TYPEDECL | MOD TYPE VARS ';' | E ';' | return E? ';' | throw E ';' | <break continue> ID? ';' | yield E ';' | assert E ( ':' E )? ';' | synchronized P_1 B_s | try ( P_t B_s ( catch P_k B_s )* ( finally B_s )? | B_s ( ( catch P_k B_s )+ ( finally B_s )? | finally B_s ) ) | switch P_1 B_w | ';' )",
+        "CORE": "( ';' | B_s | MOD TYPEDECL | MOD TYPE VARS ';' | E ';' | return E? ';' | throw E ';' | <break continue> ID? ';' | yield E ';' | assert E ( ':' E )? ';' | synchronized P_1 B_s | try ( P_t B_s ( catch P_k B_s )* ( finally B_s )? | B_s ( ( catch P_k B_s )+ ( finally B_s )? | finally B_s ) ) | switch P_1 B_w | ';' )",
         "STEP": "( MOD TYPE VARS | E | return E? | throw E | <break continue> ID? | yield E )",
         **_C_FLOW,
         "LABEL": "( E | TYPE ( ID | P_r ) ( when E )? | default )",
@@ -221,7 +221,7 @@ def _csharp() -> Grammar:
         "WHERE": "( where ID ':' ( TYPE | class '?'? | struct | new P_e | default | notnull ) ( ',' ( TYPE | class | struct | new P_e ) )* )*".replace(" | notnull", ""),
         "TYPEDECL": "( ( class | struct | interface | record ( class | struct )? ) ID GEN P_p? ( ':' TYPE P_e? ( ',' TYPE )* )? WHERE ( B_c ';'? | ';' ) | enum ID ( ':' TYPE )? B_e ';'? | delegate TYPE ID GEN P_p WHERE ';' )",
         "LOCAL": "( static | async | unsafe | S_t )* TYPE ID GEN P_p WHERE ( B_s | '=>' E ';' )",
-        "CORE": "( B_s | LOCAL | <const using await ref readonly>* TYPE VARS ';' | E ';' | return E? ';' | throw E? ';' | yield ( return E | break ) ';' | <break continue> ';' | goto ( ID | case E | default ) ';' | <checked unchecked unsafe> B_s | try B_s ( ( catch ( P_c | P_p )? ( when P_1 )? B_s )+ ( finally B_s )? | finally B_s ) | switch ( P_1 | P_u ) B_w | ';' )",
+        "CORE": "( ';' | B_s | LOCAL | <const using await ref readonly>* TYPE VARS ';' | E ';' | return E? ';' | throw E? ';' | yield ( return E | break ) ';' | <break continue> ';' | goto ( ID | case E | default ) ';' | <checked unchecked unsafe> B_s | try B_s ( ( catch ( P_c | P_p )? ( when P_1 )? B_s )+ ( finally B_s )? | finally B_s ) | switch ( P_1 | P_u ) B_w | ';' )",
         "STEP": "( <const using await ref readonly>* TYPE VARS | E | return E? | throw E? | yield ( return E | break ) | <break continue> )",
         **_C_FLOW,
         "LOOP": "( ID ':' | for P_f | await? foreach P_f | while P_1 | do | lock P_1 | <using fixed> P_v )",
@@ -283,7 +283,7 @@ def _dart() -> Grammar:
         "FBODY": "( ( async '*'? | sync '*' )? ( B_s | '=>' E ';' ) )",
         "FUN": "external? ( TYPE )? ( ID GEN P_p | get ID | set ID P_p ) ( FBODY | ';' )",
         "LOCAL": "TYPE? ID GEN P_p FBODY",
-        "CORE": "( B_s | LOCAL | DECL ';' | E ';' | return E? ';' | rethrow ';' | <break continue> ID? ';' | yield '*'? E ';' | assert P_e ';' | try B_s ( ( catch P_k B_s | on TYPE ( catch P_k )? B_s )+ ( finally B_s )? | finally B_s ) | switch P_1 B_w | ';' )",
+        "CORE": "( ';' | B_s | LOCAL | DECL ';' | E ';' | return E? ';' | rethrow ';' | <break continue> ID? ';' | yield '*'? E ';' | assert P_e ';' | try B_s ( ( catch P_k B_s | on TYPE ( catch P_k )? B_s )+ ( finally B_s )? | finally B_s ) | switch P_1 B_w | ';' )",
         "STEP": "( DECL | E | return E? | rethrow | <break continue> ID? | yield '*'? E | assert P_e )",
         **_C_FLOW,
         "IF": "if ( P_1 | P_m )",
@@ -343,7 +343,7 @@ def _cpp() -> Grammar:
         "ENUM": "(?= <typedef static const enum> ) <typedef static const>* enum ( class | struct )? NAME? ( ':' TYPE )? ( B_e VARS? )? ';'",
         "FUN": "TMPL ATTR ( TYPE PTR )? '~'? NAME P_p BODY | TMPL SPEC* operator TYPE PTR P_p BODY | TMPL SPEC* P_p".replace(" | TMPL SPEC* P_p", ""),
         "SMALL": "(?= <using static_assert friend template class struct namespace asm> ) ( using ( namespace NAME | ID ATTR '=' TYPE PTR ( P_p | S_e | P_d P_p )* | enum? typename? NAME ( ',' NAME )* ) ';' | static_assert P_e ';' | friend ( class | struct )? TYPE ';' | TMPL ( class | struct ) NAME ';' | template ( class | struct )? TYPE ';' | namespace ID '=' NAME ';' | asm P_e ';' | TMPL concept ID '=' E ';' | TMPL using ID '=' TYPE PTR ( P_p )? ';' )",
-        "CORE": "( B_s | CLS | ENUM | SMALL | DECL ';' | E ( ',' E )* ';' | return ( E | B_i )? ';' | co_return E? ';' | <break continue> ';' | goto ID ';' | try B_s ( catch P_k B_s )+ | switch P_v B_w | ATTR ';' )",
+        "CORE": "( ';' | B_s | CLS | ENUM | SMALL | DECL ';' | E ( ',' E )* ';' | return ( E | B_i )? ';' | co_return E? ';' | <break continue> ';' | goto ID ';' | try B_s ( catch P_k B_s )+ | switch P_v B_w | ATTR ';' )",
         "STEP": "( DECL | E ( ',' E )* | return E? | co_return E? | <break continue> )",
         "LEAD": "( IF | LOOP | else )*",
         "LOOP": "( ID ':' | for co_await? P_f | while P_v | do | S_e )",
@@ -352,9 +352,9 @@ def _cpp() -> Grammar:
         "B_s": "STMT*",
         "B_w": "(?= case | default | EOS ) ( ( case E ( '...' E )? | default ) ':' | STMT )*",
         "MEMBER": "(?> ';' | <public private protected> ID? ':' | TMPL CLS | ENUM | SMALL | FUN | TMPL DECL ';' | ID P_e )",
-        "B_c": "MEMBER*",
+        "B_c": "(?! ALL* <return if for while switch do break continue> ) MEMBER*",
         "UNIT": "(?> ';' | inline? namespace ATTR ( NAME ( '::' inline? NAME )* )? B_n ';'? | extern LIT ( B_n | UNIT0 ) | TMPL CLS | ENUM | SMALL | FUN | TMPL DECL ';' | ID P_e ';'? | export? <import module> ( NAME ( '.' NAME )* | ANY* )? ';' )".replace(" | UNIT0", " | FUN | DECL ';'"),
-        "B_n": "UNIT*",
+        "B_n": "(?! ALL* <return if for while switch do break continue> ) UNIT*",
         "TOP": "UNIT*",
     }
     words = spec + " alignas alignof and asm bitand bitor xor not_eq or break case catch concept continue co_await co_return co_yield decltype default delete do else export false for goto if namespace new noexcept nullptr operator private protected public requires return sizeof static_assert switch template this throw true try typeid using while operator_"
@@ -392,7 +392,7 @@ def _go() -> Grammar:
         "STEP": "( SIMPLE | DECL | return ES? | <break continue goto> ID? | fallthrough | <go defer> E )",
         "LEAD": "( ID ':' NL? )*",
         "IF": "if ( SIMPLE? ';' )? E B_s",
-        "STMT": "(?> ( ID ':' NL? )* ( STEP T | B_s T | IF ( else IF )* ( else B_s )? T | for ( SIMPLE? ';' E? ';' SIMPLE? | ( ES <:= => )? range E | E )? B_s T | switch ( SIMPLE? ';' )? ( SIMPLE )? B_w T | select B_w T ) | NL | ';' )".replace("<:= =>", "( ':=' | '=' )"),
+        "STMT": "(?> ';' | NL | ( ID ':' NL? )* ( STEP T | B_s T | IF ( else IF )* ( else B_s )? T | for ( SIMPLE? ';' E? ';' SIMPLE? | ( ES <:= => )? range E | E )? B_s T | switch ( SIMPLE? ';' )? ( SIMPLE )? B_w T | select B_w T ) | NL | ';' )".replace("<:= =>", "( ':=' | '=' )"),
         "B_s": "STMT*",
         "B_w": "NL? ( ( case ( SIMPLE | TYPE ( ',' ( TYPE | E ) )* ) | default ) ':' STMT* )*",
         "B_t": "NL? ( ( NAMES TYPE | '*'? ID ( '.' ID )? S_e? ) STR? T )*",
@@ -402,7 +402,7 @@ def _go() -> Grammar:
         "TOP": "NL? package ID T NL? ( import ( IMP | P_i ) T )* ( DECL T | func P_p? ID S_p? P_p RESULT? B_s? T | NL )*",
     }
     return Grammar(words="break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var", soft="",
-                   signs="<<= >>= &^= ... && || <- ++ -- == != <= >= := += -= *= /= %= &= |= ^= << >> &^", rules=rules, ends="i LIT ) ] } break continue fallthrough return ++ --", not_before="\x13")
+                   signs="<<= >>= &^= ... && || <- ++ -- == != <= >= := += -= *= /= %= &= |= ^= << >> &^", rules=rules, ends="i LIT ) ] } break continue fallthrough return ++ --", not_before="\x13", bare_heads=True)
 
 
 def _rust() -> Grammar:
@@ -498,7 +498,7 @@ def _kotlin() -> Grammar:
         "ALIAS": "MOD typealias ID GEN '=' TYPE",
         "STEP": "( DECL | S1 )",
         "LEAD": "EMPTY",
-        "STMT": "(?> ( DECL | FUN | CLS | ALIAS | ( ID '@' )? ( for P_f | while P_1 ) NL? ( BODY | (?= ';' ) ) | ( ID '@' )? do BODY NL? while P_1 | S1 ) T | NL | ';' )",
+        "STMT": "(?> ';' | NL | ( DECL | FUN | CLS | ALIAS | ( ID '@' )? ( for P_f | while P_1 ) NL? ( BODY | (?= ';' ) ) | ( ID '@' )? do BODY NL? while P_1 | S1 ) T | NL | ';' )",
         "B_s": "STMT*",
         "B_l": "( NL? ( ( ID ( ':' TYPE )? | P_d ) ( ',' ( ID ( ':' TYPE )? | P_d ) )* )? '->' )? STMT*",
         "COND": "( E | in E | '!in' E | is TYPE | '!is' TYPE )",
@@ -511,7 +511,7 @@ def _kotlin() -> Grammar:
     return Grammar(words="as break class continue do else false for fun if in interface is null object package return super this throw true try typealias val var when while as_q", soft=soft,
                    signs="=== !== ..< ?. ?: :: -> ++ -- == != <= >= && || !! .. += -= *= /= %= !in !is", rules=rules, generic=f"i {soft} . , ? : * in -> & GRP \x0f",
                    ends=f"i {soft} LIT ) ] }} > ? this super null true false return break continue object !! ++ --", not_before=". ?. ?: , ) ] : = && || -> as by else where { += -= *= /= == !=".replace(" else", "").replace(" where", ""),
-                   before=(("as '?'", "as_q"), ("(?<= '.' ) '*'", "i")))
+                   before=(("as '?'", "as_q"), ("(?<= '.' ) '*'", "i")), wider="B_l")
 
 
 def _swift() -> Grammar:
@@ -552,7 +552,7 @@ def _swift() -> Grammar:
         "STEP": "( MOD ( let | var ) ( ID | P_t ) ( ':' TYPE )? ( '=' E )? | E | return E? | throw E | <break continue> ID? | fallthrough )",
         "LEAD": "EMPTY",
         "IF": "if IFC B_s ( NL? else if IFC B_s )* ( NL? else B_s )?",
-        "STMT": "(?> ( ( ID ':' )? ( IF | for ( await | try )* ( case )? ( PAT ) ( ':' TYPE )? in E WHERE B_s | while IFC B_s | repeat B_s NL? while E | switch E B_w | do ( throws P_e )? B_s ( NL? catch ( PAT ( ',' PAT )* WHERE )? B_s )* ) | guard IFC else B_s | defer B_s | FUN | CLS | OTHER | DECL | return E? | throw E | <break continue> ID? | fallthrough | E ) T | NL | ';' | '#' ID E? NL )",
+        "STMT": "(?> ';' | NL | ( ( ID ':' )? ( IF | for ( await | try )* ( case )? ( PAT ) ( ':' TYPE )? in E WHERE B_s | while IFC B_s | repeat B_s NL? while E | switch E B_w | do ( throws P_e )? B_s ( NL? catch ( PAT ( ',' PAT )* WHERE )? B_s )* ) | guard IFC else B_s | defer B_s | FUN | CLS | OTHER | DECL | return E? | throw E | <break continue> ID? | fallthrough | E ) T | NL | ';' | '#' ID E? NL )",
         "B_s": "STMT*",
         "B_l": "( NL? S_e? ( ( ID ( ',' ID )* | P_p | P_t ) NL? EFFECT ( '->' TYPE )? )? in NL? )? STMT*",
         "B_w": "NL? ( ( ( '@' ID )? case PAT WHERE ( ',' NL? PAT WHERE )* | ( '@' ID )? default ) ':' STMT* )*",
@@ -564,7 +564,7 @@ def _swift() -> Grammar:
     words = "as associatedtype break case catch class continue default defer deinit do else enum extension fallthrough false fileprivate_ for func guard if import in init inout is let nil operator protocol repeat rethrows return self struct subscript super switch throw throws true try typealias var where while operator_"
     return Grammar(words=words, soft=soft, signs="=== !== ..< ... -> ?? == != <= >= && || += -= *= /= %= &= |= ^= <<= << ~= &+ &- &*", rules=rules, generic=f"i {soft} . , ? : & = -> self GRP \x0f",
                    ends=f"i {soft} LIT ) ] }} > ? ! self super nil true false break continue return fallthrough init default", not_before=". , ) ] : ? = && || ?? -> + * / == != <= < += -= *= { in ..< ... is as where & | catch TERN".replace(" catch", "").replace(" { ", " { "),
-                   before=(("(?<= func ) ( <+ - * / % & | ^ ! ~ < ? = == != <= += -= *= << && || ?? ... ..<> | '>' )+".replace("<+ - * / % & | ^ ! ~ < ? = == != <= += -= *= << && || ?? ... ..<>", _alternatives("+ - * / % & | ^ ! ~ < ? = == != <= += -= *= << && || ?? ... ..<")), "operator_"),))
+                   before=(("(?<= func ) ( <+ - * / % & | ^ ! ~ < ? = == != <= += -= *= << && || ?? ... ..<> | '>' )+".replace("<+ - * / % & | ^ ! ~ < ? = == != <= += -= *= << && || ?? ... ..<>", _alternatives("+ - * / % & | ^ ! ~ < ? = == != <= += -= *= << && || ?? ... ..<")), "operator_"),), wider="B_l")
 
 
 def _ruby() -> Grammar:

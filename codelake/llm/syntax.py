@@ -26,6 +26,7 @@ _NUMBER = re.compile(r"(?:0[xX][\da-fA-F_']+(?:\.[\da-fA-F_']*)?(?:[pP][+-]?\d+)
 _NOTATION = re.compile(r"'([^'\s]+|')'|<([^<>]*)>|([A-Za-z_]\w*)|(\(\?[=!:>]|\(\?<[=!]|\()|(\S)|\s+")
 _INNER = re.compile(r"([(\[{])([^()\[\]{}]*)[)\]}]")
 _PART = re.compile("[^;\n\ue800-\uebff]+[;\n]")  # up to a semicolon or line break, without a curly group
+_EMPTY = re.compile(";{2,}")
 _PAIR = {"(": ")", "[": "]", "{": "}"}
 _BASE = {"(": 0xE000, "[": 0xE400, "{": 0xE800}
 _KNOWN_LIMIT = 200_000
@@ -68,11 +69,12 @@ class Grammar:
     literal, ``STR`` one that is no number, ``NL`` a line break. ``ends`` and ``begins``: tokens after and before which a line break counts; without them line breaks
     are blank space. ``generic``: what may stand between angle brackets. ``before``: pairs of EBNF and token, each a
     sequence of tokens that counts as that token, such as the name of an operator. ``STEP`` and ``LEAD``: a statement that holds no other
-    one, and what may stand before it. ``extra``: a pattern of tokens that come first - with a colon in front they are literals, with one
+    one, and what may stand before it. ``wider``: a rule that takes all that ``B_s`` takes. ``bare_heads``: semicolons of
+    loops stand outside of brackets. ``extra``: a pattern of tokens that come first - with a colon in front they are literals, with one
     at the end the given token.
     """
 
-    def __init__(self, words: str, soft: str, signs: str, rules: dict[str, str], ends: str = "", begins: str = "", not_before: str = "", generic: str = "", number: str = "", extra: tuple[str, str] = ("", ""), before: tuple[tuple[str, str], ...] = ()):
+    def __init__(self, words: str, soft: str, signs: str, rules: dict[str, str], ends: str = "", begins: str = "", not_before: str = "", generic: str = "", number: str = "", extra: tuple[str, str] = ("", ""), before: tuple[tuple[str, str], ...] = (), wider: str = "", bare_heads: bool = False):
         code = iter(range(0x1000, 0x2000))
         self.chars = {w: chr(next(code)) for w in (words + " " + soft + " " + signs).split() if len(w) > 1 or w.isalpha() or w == "_"}
         spoken = [self.chars[w] for w in (words + " " + soft).split()]
@@ -104,9 +106,10 @@ class Grammar:
         for name in fragments:
             self.defined[name] = self.compile(rules[name])
         self.top = self.whole(self.compile(rules["TOP"]))
-        self.rules = {b: [(self.whole(self.compile(rules[name])), name in ("B_s", "B_w")) for name in kinds] for b, kinds in names.items()}
+        self.rules = {b: [(self.whole(self.compile(rules[name])), name in ("B_s", "B_w"), kinds.index("B_s") if name == wider else -1) for name in kinds] for b, kinds in names.items()}
         self.step = self.whole(f"(?P<before_>{self.parts['LEAD']})({self.parts['STEP']})[;\n]") if "STEP" in rules else None
         self.steps: dict[str, str] = {}
+        self.bare_heads = bare_heads
         self.steps_on_top = "STMT" in rules["TOP"]
         self.before = [(self.whole(self.compile(a)), self.chars.get(b, b)) for a, b in before]
         self.breaks = re.compile(self.break_rule(ends, begins, not_before)) if ends else None
@@ -163,7 +166,10 @@ class Grammar:
         if got is None:
             flat = self.flat(content)
             short = self.shortened(flat) if bracket == "{" else flat
-            mask = sum(1 << k for k, (rule, steps) in enumerate(self.rules[bracket]) if rule.fullmatch(short if steps else flat))
+            mask = 0
+            for k, (rule, steps, follows) in enumerate(self.rules[bracket]):
+                if (follows >= 0 and mask >> follows & 1) or rule.fullmatch(short if steps else flat):
+                    mask |= 1 << k
             got = chr(_BASE[bracket] + mask) if mask else ""
             if len(self.known) > _KNOWN_LIMIT:
                 self.known.clear()
@@ -172,7 +178,10 @@ class Grammar:
 
     def shortened(self, content: str) -> str:
         """Statements without their simple parts: each becomes an empty statement, and how a part reads is looked up."""
-        return _PART.sub(self.shorter, content) if self.step else content
+        if not self.step:
+            return content
+        content = _PART.sub(self.shorter, content)
+        return content if self.bare_heads else _EMPTY.sub(";", content)
 
     def shorter(self, m: re.Match[str]) -> str:
         part = m[0]
