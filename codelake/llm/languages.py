@@ -176,7 +176,7 @@ def _java() -> Grammar:
     }
     return Grammar(
         words="abstract assert break case catch class const continue default do else enum extends final finally for goto if implements import instanceof interface native new package private protected public return static strictfp super switch synchronized this throw throws transient try volatile while null true false",
-        soft="record sealed permits yield non module when", signs=_C_SIGNS, rules=rules, generic="i record sealed permits yield non module when . , ? & extends super @ GRP \x0f")
+        soft="record sealed permits yield non module when", signs=_C_SIGNS, rules=rules, closed=True, generic="i record sealed permits yield non module when . , ? & extends super @ GRP \x0f")
 
 
 def _csharp() -> Grammar:
@@ -238,7 +238,7 @@ def _csharp() -> Grammar:
         "TOP": "( UNIT | STMT )*",
     }
     words = "abstract as base break case catch checked class const continue default delegate do else enum event explicit extern finally fixed for foreach goto if implicit in interface internal is lock namespace new null operator out override params private protected public readonly ref return sealed sizeof stackalloc static struct switch this throw true false try typeof unchecked unsafe using virtual volatile while operator_"
-    return Grammar(words=words, soft=soft, signs="... ?? ??= => .. " + _C_SIGNS.replace("... ", ""), rules=rules, generic=f"i {soft} . , ? * :: in out GRP \x0f",
+    return Grammar(words=words, soft=soft, signs="... ?? ??= => .. " + _C_SIGNS.replace("... ", ""), rules=rules, closed=True, generic=f"i {soft} . , ? * :: in out GRP \x0f",
                    before=((f"operator ( {_alternatives('++ -- == != <= >= << + - * / % & | ^ ! ~ true false <')} | '>' '>'? )", "operator_"),))
 
 
@@ -298,7 +298,7 @@ def _dart() -> Grammar:
         "TOP": "( library ( ID ( '.' ID )* )? ';' | ANN* ( import | export ) LIT ( deferred )? ( as ID )? ( <show hide> ID ( ',' ID )* )* ';' | ANN* part of? ( LIT | ID ( '.' ID )* ) ';' )* (?> ANN* ( CLS | FUN | ( late? ( final | const ) TYPE? | late? ( var | TYPE ) ) VARS ';' ) )*",
     }
     words = "assert break case catch class const continue default do else enum extends final finally for if in is new null rethrow return super switch this throw true false try var void while with as operator_"
-    return Grammar(words=words, soft=soft, signs="...? ... ?.. ?. .. => ++ -- == != <= >= && || ?? ??= ~/ ~/= += -= *= /= %= &= |= ^= <<= <<", rules=rules, generic=f"i {soft} . , ? void extends GRP \x0f",
+    return Grammar(words=words, soft=soft, signs="...? ... ?.. ?. .. => ++ -- == != <= >= && || ?? ??= ~/ ~/= += -= *= /= %= &= |= ^= <<= <<", rules=rules, closed=True, generic=f"i {soft} . , ? void extends GRP \x0f",
                    before=((f"operator ( {_alternatives('== <= >= << ~/ + - * / % & | ^ ~ <')} | '>' '>'? '>'? | '[' ']' '='? )", "operator_"),))
 
 
@@ -358,7 +358,7 @@ def _cpp() -> Grammar:
         "TOP": "UNIT*",
     }
     words = spec + " alignas alignof and asm bitand bitor xor not_eq or break case catch concept continue co_await co_return co_yield decltype default delete do else export false for goto if namespace new noexcept nullptr operator private protected public requires return sizeof static_assert switch template this throw true try typeid using while operator_"
-    return Grammar(words=words, soft=soft, signs="<=> ->* .* " + _C_SIGNS, rules=rules, generic=f"i {soft} {spec} :: , * & ... = LIT true false GRP \x0f",
+    return Grammar(words=words, soft=soft, signs="<=> ->* .* " + _C_SIGNS, rules=rules, closed=True, generic=f"i {soft} {spec} :: , * & ... = LIT true false GRP \x0f",
                    before=((f"operator ( {_alternatives('<=> == != <= >= <<= << += -= *= /= %= &= |= ^= ++ -- -> && || , + - * / % & | ^ ! ~ = <')} | '>' '>'? '='? | '(' ')' | '[' ']' | new | delete | STR ID )", "operator_"),))
 
 

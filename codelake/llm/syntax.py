@@ -70,11 +70,11 @@ class Grammar:
     are blank space. ``generic``: what may stand between angle brackets. ``before``: pairs of EBNF and token, each a
     sequence of tokens that counts as that token, such as the name of an operator. ``STEP`` and ``LEAD``: a statement that holds no other
     one, and what may stand before it. ``wider``: a rule that takes all that ``B_s`` takes. ``bare_heads``: semicolons of
-    loops stand outside of brackets. ``extra``: a pattern of tokens that come first - with a colon in front they are literals, with one
+    loops stand outside of brackets. ``closed``: every statement ends with a semicolon or a curly group. ``extra``: a pattern of tokens that come first - with a colon in front they are literals, with one
     at the end the given token.
     """
 
-    def __init__(self, words: str, soft: str, signs: str, rules: dict[str, str], ends: str = "", begins: str = "", not_before: str = "", generic: str = "", number: str = "", extra: tuple[str, str] = ("", ""), before: tuple[tuple[str, str], ...] = (), wider: str = "", bare_heads: bool = False):
+    def __init__(self, words: str, soft: str, signs: str, rules: dict[str, str], ends: str = "", begins: str = "", not_before: str = "", generic: str = "", number: str = "", extra: tuple[str, str] = ("", ""), before: tuple[tuple[str, str], ...] = (), wider: str = "", bare_heads: bool = False, closed: bool = False):
         code = iter(range(0x1000, 0x2000))
         self.chars = {w: chr(next(code)) for w in (words + " " + soft + " " + signs).split() if len(w) > 1 or w.isalpha() or w == "_"}
         spoken = [self.chars[w] for w in (words + " " + soft).split()]
@@ -109,7 +109,7 @@ class Grammar:
         self.rules = {b: [(self.whole(self.compile(rules[name])), name in ("B_s", "B_w"), kinds.index("B_s") if name == wider else -1) for name in kinds] for b, kinds in names.items()}
         self.step = self.whole(f"(?P<before_>{self.parts['LEAD']})({self.parts['STEP']})[;\n]") if "STEP" in rules else None
         self.steps: dict[str, str] = {}
-        self.bare_heads = bare_heads
+        self.bare_heads, self.closed = bare_heads, closed
         self.steps_on_top = "STMT" in rules["TOP"]
         self.before = [(self.whole(self.compile(a)), self.chars.get(b, b)) for a, b in before]
         self.breaks = re.compile(self.break_rule(ends, begins, not_before)) if ends else None
@@ -167,7 +167,10 @@ class Grammar:
             flat = self.flat(content)
             short = self.shortened(flat) if bracket == "{" else flat
             mask = 0
+            open_end = self.closed and flat[-1:] not in ("", ";", ":") and not "\ue800" <= flat[-1] <= "\uebff"
             for k, (rule, steps, follows) in enumerate(self.rules[bracket]):
+                if steps and open_end:
+                    continue
                 if (follows >= 0 and mask >> follows & 1) or rule.fullmatch(short if steps else flat):
                     mask |= 1 << k
             got = chr(_BASE[bracket] + mask) if mask else ""
