@@ -23,8 +23,11 @@ _ISSUED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?:AKIA|ASIA)[0-9A-Z]{12,20}|gh[po
 _URL = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://[^\s\"'`:/@<>{}$%]+:(?P<value>[^\s\"'`/@<>]+|[^\s\"'`@<>]*[^\s\"'`@<>/])@[\w.-]+")
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<value>[\s\S]*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)")
 _NAMED = re.compile(r"(?<![\w$.-])(?P<name>(?=[\d$.-]*[A-Za-z_])[\w$.]++(?:-[\w$.]++)*+)[\"']?\]?\s*(?::\s*(?:&(?:'static\s+)?)?[\w<>?*\[\]]+\s*(?==))?(?::=|=>|=|:|->)\s*(?=[\"'`]|[^\s\"'`=>&|])")
-_QUOTED = re.compile(r"(?P<q>[\"'`])(?P<value>[^\"'`\s\\]{8,}+)(?P=q)")
-_JOINED = re.compile(r"(?P<q>[\"'`])(?P<a>[^\"'`\s\\]{3,}+)(?P=q)(?P<more>(?:\s*(?:\+|\.|<>|~|\|\|)\s*(?P=q)[^\"'`\s\\]++(?P=q))+)")
+_QUOTED = re.compile(r"(?P<q>[\"'`])(?P<value>(?:[^\"'`\s\\]|\\\S){8,}+)(?P=q)")
+_PHRASE = re.compile(r"(?P<q>[\"'`])(?P<value>(?:[^\"'`\n\\]|\\.)+?)(?P=q)")
+_JOINED = re.compile(r"(?P<q>[\"'`])(?P<a>[^\"'`\s\\]{3,}+)(?P=q)(?P<more>(?:(?:\s*(?:\+|\.|<>|~|\|\||\\\n)\s*|\s*\n\s*)(?P=q)[^\"'`\s\\]++(?P=q))+)")
+# A line that goes on: it ends with a literal or an operator after one, and the next one starts with an operator or a literal.
+_GOES_ON = re.compile(r"(?<=[\"'`+.~>|\\])[ \t\r]*\n[ \t]*(?:(?:\+|\.|<>|~|\|\|)[ \t]*)?[\"'`][^\n]*")
 _CALL = re.compile(r"\b(?:log_?in|connect|open_?session|authenticate|auth|sign_?in|bind|set_?password|basic_?auth)\s*\(\s*[\"'`][^\"'`\s]+[\"'`]\s*,\s*[\"'`](?P<value>[^\"'`\s]{6,}+)[\"'`]", re.I)
 _BEARER = re.compile(r"\b(?:Bearer|Basic|Token)\s+(?P<value>[^\s\"'`<>{}$]{8,}+)(?=[\"'`\s]|$)")
 _QUERY = re.compile(r"[?&](?:access_token|api_?key|token|auth|key|password|secret|client_secret|sig)=(?P<value>[^\s\"'`&<>{}$]{8,}+)", re.I)
@@ -72,7 +75,7 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _HEX = re.compile(r"^(?:0x)?[0-9a-fA-F]+$")
 _B64 = re.compile(r"^[A-Za-z0-9+/_-]+={0,2}$")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
-_WORDY = re.compile(r"^(?:[a-z]+|[A-Z][a-z]+|[A-Z]+)(?:[-_./: ]?(?:[a-z]+|[A-Z][a-z]+|[A-Z]+))*\d{0,3}$")
+_WORDY = re.compile(r"^[A-Za-z]++(?:[-_./: ][A-Za-z]++)*+\d{0,3}$")
 _PATHY = re.compile(r"^(?:[./~]?[a-z0-9_.-]*(?:/[a-z0-9_.-]+)+/?$|[.~]/|[A-Za-z]:\\|https?://|[\w-]+\.[a-z]{2,4}$|\d+(?:\.\d+)+$|\d{4}-\d\d)")
 
 
@@ -163,6 +166,8 @@ def credentials_of(text: str | None, path: str | None = None) -> list[tuple[int,
         at = text.rfind("\n", 0, spot) + 1
         upto = text.find("\n", spot)
         upto = len(text) if upto < 0 else upto
+        while (end := _bare_end(text, at, upto)) > at and text[end - 1] in "\"'`+.~>|\\" and (more := _GOES_ON.match(text, end)) is not None:
+            upto = more.end()
         for a, b, kind in _in_line(text[at:upto]):
             add(at + a, at + b, kind)
     out: list[tuple[int, int, str]] = []
@@ -175,20 +180,38 @@ def credentials_of(text: str | None, path: str | None = None) -> list[tuple[int,
     return out
 
 
+def _bare_end(text: str, at: int, upto: int) -> int:
+    """Offset after the last character of a line that is not blank."""
+    while upto > at and text[upto - 1] in " \t\r":
+        upto -= 1
+    return upto
+
+
+def _parts_usable(value: str, name: str) -> bool:
+    """Whether a quoted value with blanks under a secret name holds a part that no text in words has."""
+    parts = value.split()
+    return len(parts) > 1 and any(len(p) >= 6 and any(c.isdigit() for c in p) and any(c.isalpha() for c in p) and any(not c.isalnum() for c in p.rstrip(".,:;!?)")) for p in parts) and _usable(value.replace(" ", ""), name, False)
+
+
 def _in_line(s: str) -> list[tuple[int, int, str]]:
-    """Credentials within one line; lines of any length are read whole."""
+    """Credentials within one line, or the lines of one joined literal; of any length, read whole."""
     out = [(m.start(), m.end(), "token") for m in _ISSUED.finditer(s) if not _PLACEHOLDER.match(m[0])]
     for p, kind in ((_CALL, "call"), (_BEARER, "header"), (_QUERY, "query"), (_SQL_PW, "sql_password"), (_LOGIN, "comment")):
         out += [(m.start("value"), m.end("value"), kind) for m in p.finditer(s) if "://" not in m["value"] and _usable(m["value"], None, True)]
     for m in _NAMED.finditer(s):
-        j = _JOINED.match(s, m.end())
+        start = m.end()
+        while s[start : start + 1] in ("(", " "):
+            start += 1
+        j = _JOINED.match(s, start)
         if j:
             v = "".join([j["a"], *re.findall(r"[\"'`]([^\"'`]+)[\"'`]", j["more"])])
             u = _URL.match(v)
-            if _ISSUED.match(v) or (u and _usable(u["value"], None, True)) or _usable(v, m["name"], False) or (random_looking(v) and alphabet(v) == "base64" and not _BLOB.match(v) and not _PLAIN_NAME.search(_name(m["name"]))):
-                out.append((m.end() + 1, j.end() - 1, "joined"))
+            if _ISSUED.match(v) or (u and _usable(u["value"], None, True)) or _usable(v, m["name"], False) or ("\n" not in j[0] and random_looking(v) and alphabet(v) == "base64" and not _BLOB.match(v) and not _PLAIN_NAME.search(_name(m["name"]))):
+                out.append((start + 1, j.end() - 1, "joined"))
         elif (q := _QUOTED.match(s, m.end())) and "://" not in q["value"] and _usable(q["value"], m["name"], False):
             out.append((m.end() + 1, q.end() - 1, "named"))
+        elif s[start : start + 1] in ("'", '"', "`") and _SECRET_NAME.search(_name(m["name"])) and (q := _PHRASE.match(s, m.end())) and " " in q["value"] and "://" not in q["value"] and _parts_usable(q["value"], m["name"]):
+            out.append((m.end() + 1, q.end() - 1, "named"))
     if _COMMENT_LINE.match(s):
         out += [(m.start("value"), m.end("value"), "comment") for m in _COMMENT.finditer(s) if m["value"] and "://" not in m["value"] and _usable(m["value"].rstrip("."), m["name"], False)]
     else:
@@ -197,7 +220,7 @@ def _in_line(s: str) -> list[tuple[int, int, str]]:
             out.append((c.start("value"), c.end("value"), "config"))
     for m in _LONG.finditer(s):
         v = m[0]
-        if alphabet(v) != "hex" and not _BLOB.match(v) and _loose(s, m.start()) and random_looking(v):
+        if alphabet(v) != "hex" and not _BLOB.match(v) and random_looking(v) and _loose(s, m.start()):
             out.append((m.start(), m.end(), "entropy"))
     return out
 
@@ -208,6 +231,10 @@ def _loose(line: str, at: int) -> bool:
     names = _NAMED.search(line[:at] + "x")
     name = _name(before[-120:])
     named = [n for m in _NAMED.finditer(before[-120:] + "x") if (n := _name(m["name"]))]
+    if not names and line[at - 1 : at] in ("'", '"', "`"):
+        head = line[: at - 1].rstrip()
+        called = re.search(r"(\w+)\s*$", head[: head.rfind("(")][-120:]) if head.endswith(("(", ",")) and "(" in head else None
+        return called is not None and not (_PLAIN_NAME.search(_name(called[1])) or _BLOB_NAME.search(_name(called[1])) or re.search(r"base64|data:|ssh-|sha\d+-|integrity|PUBLIC", line))
     if not names or (named and _BLOB_NAME.search(named[-1])) or re.search(r"-----(?:BEGIN|END)|base64|data:|ssh-|sha\d+-|integrity|PUBLIC", line) or _PLAIN_NAME.search(name):
         return False
     return line[:at][-1:] in "\"'`" or line[:at].rstrip()[-1:] in "=:"
@@ -228,7 +255,7 @@ def redacted(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
         if kind == "private_key":
             new = re.sub(r"(?P<keep>-----[A-Z0-9 ]+-----|\\[nr]|[\s\"'+,`]+)|[^\s\"'+,`\\-]+|.", lambda m: m["keep"] or "REDACTED"[: max(1, len(m[0]))], v)
         elif kind == "joined":
-            new = re.sub(r"[^\"'`]+", lambda m: m[0] if re.fullmatch(r"\s*(?:\+|\.|<>|~|\|\|)\s*", m[0]) else "REDACTED", v)
+            new = re.sub(r"[^\"'`]+", lambda m: m[0] if re.fullmatch(r"\s*(?:\+|\.|<>|~|\|\||\\)?\s*", m[0]) else "REDACTED", v)
         else:
             new = "REDACTED"
         out += [text[last:a], new]

@@ -262,6 +262,18 @@ def test_secret(line):
     assert Counter(c for c in out if c in "\"'`(){}[]") == Counter(c for c in text if c in "\"'`(){}[]")
 
 
+def test_secret_shapes():
+    """Blanks and escapes in a value, values that go on in the next line, arguments of calls; words are no credentials."""
+    text = 'password = "My dog Rex#2019 barks"\ndb_password = "ab\\\\c9XyZ!q"\nsecret_key = ("aB3dE6gH9j" +\n   "kL2mN5pQ8r")\napi_secret = ("aB3dE6gH9j"\n   "kL2mN5pQ8r")\nclient.start("kJ8sLq92mXz7Qp4RtY6w")\n'
+    spans = secrets.credentials_of(text)
+    assert [text.count("\n", 0, a) + 1 for a, _, _ in spans] == [1, 2, 3, 5, 7]
+    assert secrets.redacted(text, spans) == 'password = "REDACTED"\ndb_password = "REDACTED"\nsecret_key = ("REDACTED" +\n   "REDACTED")\napi_secret = ("REDACTED"\n   "REDACTED")\nclient.start("REDACTED")\n'
+    assert not secrets.credentials_of('x = trace("kJ8sLq92mXz7Qp4RtY6wBv3")\npassword = "Must be at least 8 characters!"\nnames = ["alpha",\n  "beta"]\n')
+    started = time.time()
+    secrets.credentials_of("PAYLOAD = (\n" + '    "1vuDSqR3ghWHeHekfjAbJjTYwPPqrhnafGklYAejFgEhQLquFOBfhZgITNaaabbbcccdddeee!"\n' * 300 + ")\n")
+    assert time.time() - started < 5
+
+
 def test_secret_length():
     pool = "Q7rT2xVb9Kd4Lm8Zp3Ws6Yc1Hn5Jf0GgAaEeUu"
     v = "".join(pool[(i * i * 7 + i * 3 + i // 38) % 38] for i in range(900))
