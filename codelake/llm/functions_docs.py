@@ -48,7 +48,10 @@ _DEF = {
 }
 _DEF["typescript"] = _DEF["javascript"]
 _DEFS = {k: tuple(re.compile(p, re.M) for p in v) for k, v in _DEF.items()}
-_CLASS = re.compile(r"^([ \t]*)(?:[\w@]+[ \t]+)*?(?:class|interface|struct|impl|trait|object|protocol|extension|mixin)[ \t]+(\w+)(?:[^\n{]*?(?:\bextends\b|:|<|\bfor\b)[ \t]*(?:public[ \t]+|private[ \t]+)?([A-Za-z_]\w*))?[^\n{]*(?:\{[^\n]*)?$", re.M)
+_CLASS = re.compile(r"^(?P<indent>[ \t]*)(?:[\w@]+(?:\([^()\n]*\))?[ \t]+)*?(?P<kind>class|interface|struct|impl|trait|object|protocol|extension|mixin|enum|record|union|actor)\b(?P<head>[^{;=]*)", re.M)
+_HEAD_NAME = re.compile(r"[A-Za-z_$][\w$]*(?:(?:\.|::)[A-Za-z_$][\w$]*)*")
+# Words of class headers that are no names of classes.
+_HEAD_WORDS = frozenset("class struct enum public private protected internal virtual final sealed open abstract extends implements with on permits where override static by const mut dyn unsafe default".split())
 _DECORATOR = re.compile(r"^[ \t]*(?:@[\w.:]+.*|#!?\[.*\]|\[[A-Z][\w.]*(?:\(.*\))?(?:,[^\]]*)?\])[ \t]*$")
 _LINE_MARK = {"ruby": "#", "python": "#", "sql": "--"}
 
@@ -125,6 +128,44 @@ def _above(raw: list[str], masked: list[str], i: int, lang: str) -> str:
     return _comment_text(raw[k : j + 1])
 
 
+def classes_of(masked: str, lang: str) -> list[tuple[int, str, str, list[str]]]:
+    """(offset of the name, indentation, name, all bases in order) of the classes, interfaces, traits and so on of a masked text.
+
+    Headers are read to their brace over any number of lines; type parameters
+    and constructor parameters are skipped. ``impl Trait for Type`` is Type with base Trait.
+    """
+    out = []
+    for m in _CLASS.finditer(masked):
+        head = m["head"]
+        if lang == "ruby":
+            head = head.split("\n")[0]
+        for pattern in (r"<[^<>]*>", r"\([^()]*\)"):
+            while pattern[0] != "<" or lang != "ruby":
+                new = re.sub(pattern, " ", head)
+                if new == head:
+                    break
+                head = new
+        head = re.split(r"\bwhere\b|\n[ \t]*\n|->", head)[0]
+        names = [n for n in _HEAD_NAME.findall(head) if n not in _HEAD_WORDS]
+        if not names or (names[0] == "for"):
+            continue
+        at = m.start("head") + m["head"].find(names[0])
+        if m["kind"] == "impl":
+            if "for" in names[1:]:
+                k = names.index("for")
+                if k + 1 < len(names):
+                    out.append((at, m["indent"], _last(names[k + 1]), [_last(names[0])]))
+            else:
+                out.append((at, m["indent"], _last(names[0]), []))
+        elif re.match(r"\s", m["head"]) and names:
+            out.append((at, m["indent"], _last(names[0]), [_last(n) for n in names[1:] if n not in ("for", "as")]))
+    return out
+
+
+def _last(name: str) -> str:
+    return re.split(r"\.|::", name)[-1]
+
+
 _LOCK = re.compile(r"lock|guard")
 _HOLDER = re.compile(r"\b(?:class|struct|union|namespace|extern|enum)\b")
 
@@ -173,13 +214,16 @@ def _python_functions(text: str) -> list[tuple]:
     raw = text.split("\n")
     out: list[tuple] = []
     masked: list[str] | None = None
-    stack: list[tuple[ast.AST, str | None, str | None]] = [(tree, None, None)]
+    stack: list[tuple[ast.AST, str | None, list[str]]] = [(tree, None, [])]
     while stack:
-        node, cls, base = stack.pop()
+        node, cls, bases = stack.pop()
         for x in ast.iter_child_nodes(node):
             if isinstance(x, ast.ClassDef):
-                first = x.bases[0] if x.bases else None
-                stack.append((x, x.name, first.id if isinstance(first, ast.Name) else first.attr if isinstance(first, ast.Attribute) else None))
+                named = [b.value if isinstance(b, ast.Subscript) else b for b in x.bases]
+                above = [b.id if isinstance(b, ast.Name) else b.attr for b in named if isinstance(b, (ast.Name, ast.Attribute))]
+                if above:
+                    out.append((x.lineno, "", x.name, above, "", ""))
+                stack.append((x, x.name, above))
             elif isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 line = x.lineno - 1
                 if line < len(raw) and _PY_DEF.match(raw[line]):
@@ -190,15 +234,15 @@ def _python_functions(text: str) -> list[tuple]:
                             masked = masked or mask("python", text).split("\n")
                             above = _above(raw, masked, line, "python") if len(masked) == len(raw) else ""
                             doc = above if described(above, x.name) or not doc else doc
-                    out.append((line + 1, x.name, cls, base, doc or "", "\n".join(raw[line : x.end_lineno])))
-                stack.append((x, None, None))
+                    out.append((line + 1, x.name, cls, bases, doc or "", "\n".join(raw[line : x.end_lineno])))
+                stack.append((x, None, []))
             elif not isinstance(x, ast.expr):
-                stack.append((x, cls, base))
+                stack.append((x, cls, bases))
     return out
 
 
 def functions_of(lang: str | None, text: str | None) -> list[tuple]:
-    """(line, name, class, base class, documentation, code) of each definition in a valid file.
+    """(line, name, class, base classes, documentation, code) of each definition in a valid file; of each class with bases, with an empty name.
 
     Empty for null or invalid texts and for languages without definitions.
     """
@@ -215,7 +259,7 @@ def functions_of(lang: str | None, text: str | None) -> list[tuple]:
     raw, mlines = text.split("\n"), masked.split("\n")
     if len(starts) != len(mstarts):
         return []
-    classes = [(bisect_right(mstarts, m.start(2)), len(m[1].expandtabs(4)), m[2], m[3]) for m in _CLASS.finditer(masked)] if lang not in ("go", "sql") else []
+    classes = [(bisect_right(mstarts, at), len(indent.expandtabs(4)), c, bases) for at, indent, c, bases in classes_of(masked, lang)] if lang not in ("go", "sql") else []
     found: dict[int, tuple] = {}
     for p in _DEFS[lang]:
         for m in p.finditer(masked):
@@ -225,7 +269,7 @@ def functions_of(lang: str | None, text: str | None) -> list[tuple]:
             first = bisect_right(mstarts, m.start() + len(m[0]) - len(m[0].lstrip()))
             doc = _above(raw, mlines, first - 1, lang)
             indent = len(mlines[first - 1]) - len(mlines[first - 1].lstrip())
-            cls = base = None
+            cls, base = None, []
             if indent:
                 for at, depth, c, b in reversed(classes):
                     if at <= first and depth < len(mlines[first - 1][:indent].expandtabs(4)):
@@ -236,25 +280,26 @@ def functions_of(lang: str | None, text: str | None) -> list[tuple]:
                 end = bisect_right(mstarts, max(m.start(), _extent(masked, m.start(), lang) - 1))
                 code = "\n".join(raw[first - 1 : end])
             found[line] = (line, m["name"], cls, base, doc, code)
-    return list(found.values())
+    return [*found.values(), *((line, "", c, bases, "", "") for line, _, c, bases in classes if bases)]
 
 
 def functions(files: DataFrame) -> DataFrame:
     """Every definition of every valid file with its own documentation, if any.
 
     Columns: ordinal, scan_id, language, file_path, line_number, name,
-    class_name, base_name, documented (own documentation that isn't trivial),
+    class_name, base_names, documented (own documentation that isn't trivial),
     inherits (asks for inherited documentation), description, code. Methods
-    without documentation are kept only where a base class could supply it.
+    without documentation are kept only where a base could supply it. Each
+    class with bases is a row of its own with an empty name.
     """
-    cols = ("line_number", "name", "class_name", "base_name")
+    cols = ("line_number", "name", "class_name", "base_names")
 
     def extract(b: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("ordinal", "scan_id", "language", "file_path", *cols, "documented", "inherits", "description", "code")}
         for o, s, lang, path, text in zip(b["ordinal"], b["scan_id"], b["language"], b["file_path"], b["source_code"], strict=True):
             for f in functions_of(lang, text):
                 what = described(f[4], f[1])
-                asks = what is None and f[3] is not None and (not f[4] or bool(_INHERIT.search(f[4])))
+                asks = what is None and f[1] != "" and bool(f[3]) and (not f[4] or bool(_INHERIT.search(f[4])))
                 if what is None and f[2] is None:
                     continue
                 for k, v in zip(("ordinal", "scan_id", "language", "file_path", *cols), (o, s, lang, path, *f[:4]), strict=True):
@@ -266,40 +311,39 @@ def functions(files: DataFrame) -> DataFrame:
         return out
 
     picked = files.select("ordinal", "scan_id", language().alias("language"), "file_path", "source_code")
-    return rows(picked, extract, "ordinal long, scan_id string, language string, file_path string, line_number int, name string, class_name string, base_name string, documented boolean, inherits boolean, description string, code string").dropDuplicates(["ordinal", "line_number"])
+    return rows(picked, extract, "ordinal long, scan_id string, language string, file_path string, line_number int, name string, class_name string, base_names array<string>, documented boolean, inherits boolean, description string, code string").dropDuplicates(["ordinal", "line_number", "name"])
 
 
 def inherited(found: DataFrame) -> DataFrame:
     """Documentation that methods get from the method they override.
 
     ``found``: ordinal, scan_id, language, line_number, name, class_name,
-    base_name, documented, inherits. In each round the methods still open are
-    joined with the methods of their base class; a documented one resolves
-    them, an open one passes them on to its own base. It ends when no method
-    is open, so a chain of any length resolves; cycles of classes end since a
-    base is visited once. Of several classes of one name in a scan the one of
-    the least ordinal counts. Result: ordinal, line_number, from_ordinal, from_line.
+    base_names, documented, inherits. In each round the methods still open are
+    joined with the methods of all their bases; a documented one resolves
+    them, of several the one of the base named first, and open ones pass on to
+    the bases of these bases. It ends when no method is open, so a chain of any
+    length resolves; cycles of classes end since a base is visited once. A
+    class is sought in the file of the method first; of several in a scan the
+    one of the least ordinal counts. Result: ordinal, line_number, from_ordinal, from_line.
     """
-    classes = (
-        found.filter(F.col("class_name").isNotNull()).groupBy("scan_id", "language", "class_name")
-        .agg(F.min_by("base_name", F.when(F.col("base_name").isNotNull(), F.col("ordinal"))).alias("next_base"))
-    )
-    methods = (
-        found.filter(F.col("class_name").isNotNull() & F.col("documented")).groupBy("scan_id", "language", "class_name", "name")
-        .agg(F.min(F.struct("ordinal", "line_number")).alias("at"))
-    )
-    classes = checkpointed(classes)
-    is_open = checkpointed(
-        found.filter("inherits").select("ordinal", "line_number", "scan_id", "language", "name", F.col("base_name").alias("class_name"), F.array("class_name").alias("seen"))
+    key = ["scan_id", "language", "class_name"]
+    classes = checkpointed(
+        found.filter((F.col("name") == "") & (F.size("base_names") > 0)).groupBy(*key).agg(F.min_by("base_names", "ordinal").alias("next_bases"))
     )
+    documented = found.filter(F.col("class_name").isNotNull() & F.col("documented"))
+    near = documented.groupBy("ordinal", "class_name", "name").agg(F.min("line_number").alias("near_line"))
+    methods = documented.groupBy(*key, "name").agg(F.min(F.struct("ordinal", "line_number")).alias("at"))
+    asking = found.filter("inherits").select("ordinal", "line_number", "scan_id", "language", "name", F.posexplode("base_names").alias("rank", "class_name"), F.array("class_name").alias("seen"))
+    is_open = checkpointed(asking)
     done = None
     while not is_open.isEmpty():
-        step = is_open.join(methods, ["scan_id", "language", "class_name", "name"], "left").join(classes, ["scan_id", "language", "class_name"], "left")
-        step = checkpointed(step)
-        hit = step.filter("at is not null").select("ordinal", "line_number", F.col("at.ordinal").alias("from_ordinal"), F.col("at.line_number").alias("from_line"))
+        step = is_open.join(methods, [*key, "name"], "left").join(near, ["ordinal", "class_name", "name"], "left").join(classes, key, "left")
+        step = checkpointed(step.withColumn("at", F.when(F.col("near_line").isNotNull(), F.struct("ordinal", F.col("near_line").alias("line_number"))).otherwise(F.col("at"))))
+        hit = step.filter("at is not null").groupBy("ordinal", "line_number").agg(F.min_by("at", F.struct("rank", "at")).alias("at")).select("ordinal", "line_number", F.col("at.ordinal").alias("from_ordinal"), F.col("at.line_number").alias("from_line"))
         done = hit if done is None else done.unionByName(hit)
-        is_open = step.filter(F.col("at").isNull() & F.col("next_base").isNotNull() & ~F.array_contains("seen", F.col("next_base"))).select(
-            "ordinal", "line_number", "scan_id", "language", "name", F.col("next_base").alias("class_name"), F.array_append("seen", F.col("class_name")).alias("seen"))
+        left = step.filter(F.col("at").isNull() & F.col("next_bases").isNotNull()).join(hit.select("ordinal", "line_number"), ["ordinal", "line_number"], "left_anti")
+        deeper = left.select("ordinal", "line_number", "scan_id", "language", "name", "rank", F.explode(F.array_except("next_bases", "seen")).alias("class_name"), F.array_append("seen", F.col("class_name")).alias("seen"))
+        is_open = checkpointed(deeper.groupBy("ordinal", "line_number", "scan_id", "language", "name", "class_name").agg(F.min("rank").alias("rank"), F.min("seen").alias("seen")))
     if done is None:
         return found.sparkSession.createDataFrame([], "ordinal long, line_number int, from_ordinal long, from_line int")
     return done
@@ -313,14 +357,14 @@ def documented_functions(files: DataFrame, with_text: bool = True) -> DataFrame:
     (``is_inherited``). Null and invalid texts give nothing; repeated rows of
     one ordinal count once. ``with_text=False`` leaves out description and code.
     """
-    keys = ["ordinal", "scan_id", "language", "file_path", "line_number", "name", "class_name", "base_name", "documented", "inherits"]
+    keys = ["ordinal", "scan_id", "language", "file_path", "line_number", "name", "class_name", "base_names", "documented", "inherits"]
     found = checkpointed(functions(files).select(*keys, *(("description", "code") if with_text else ())))
     kind = F.when(F.col("class_name").isNull(), "function").otherwise("method").alias("kind")
     place = ["ordinal", "file_path", "language", "line_number", "name", kind]
     text = ("description", "code") if with_text else ()
     own = found.filter("documented").select(*place, *text, F.lit(False).alias("is_inherited"))
     links = inherited(found.drop("description", "code"))
-    got = found.join(links, ["ordinal", "line_number"])
+    got = found.filter("name <> ''").join(links, ["ordinal", "line_number"])
     if with_text:
         source = found.select(F.col("ordinal").alias("from_ordinal"), F.col("line_number").alias("from_line"), F.col("description").alias("from_description"))
         got = got.join(source, ["from_ordinal", "from_line"]).withColumn("description", F.col("from_description"))

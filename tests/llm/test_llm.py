@@ -149,7 +149,7 @@ def test_signature_estimates():
 # 4 --------------------------------------------------------------------------------------------------------------------
 
 def found(lang, text):
-    return {(f[0], f[1], functions_docs.described(f[4], f[1]) is not None) for f in functions_docs.functions_of(lang, text)}
+    return {(f[0], f[1], functions_docs.described(f[4], f[1]) is not None) for f in functions_docs.functions_of(lang, text) if f[1]}
 
 
 def test_functions():
@@ -191,6 +191,22 @@ def test_inherited(spark):
     assert functions_docs.documented_functions(f.limit(0)).count() == 0
 
 
+def test_all_bases(spark):
+    """Interfaces, second bases, generic and multi-line headers, traits, classes without methods; the nearest documented one counts."""
+    rows = [
+        (1, "java", "I.java", "interface Reader<T> {\n  /** Reads one row of the table. */\n  int f(int x);\n}\n"),
+        (2, "java", "B.java", "class Base {\n  int g(int x) { return 1; }\n}\n\nclass Mid<T extends Base>\n    extends Base\n    implements Other, Reader<T> {\n}\n\nclass Leaf extends Mid<Base> {\n  public int f(int x) { return 2; }\n}\n"),
+        (3, "python", "a.py", "class A:\n    def f(self):\n        \"\"\"Gives what A has to offer.\"\"\"\n\n\nclass M:\n    def g(self):\n        \"\"\"Mixes what is in the bowl.\"\"\"\n\n\nclass B(A, m.M, Generic[T]):\n    def f(self):\n        pass\n\n    def g(self):\n        pass\n"),
+        (4, "kotlin", "k.kt", "open class P(val x: Int)\n\ninterface Q {\n    /** Counts all rows of it. */\n    fun n(): Int\n}\n\nclass R(x: Int) : P(x), Q {\n    override fun n(): Int = 1\n}\n"),
+        (5, "rust", "t.rs", "pub trait Store {\n    /// Puts one value into it.\n    fn put(&self);\n}\n\npub struct Mem;\n\nimpl<T> Store for Mem {\n    fn put(&self) {}\n}\n"),
+        (6, "csharp", "C.cs", "class X : X {\n    int F() { return 1; }\n}\n"),
+    ]
+    got = {(r["ordinal"], r["line_number"], r["is_inherited"]): r["description"] for r in functions_docs.documented_functions(files(spark, *rows)).collect()}
+    assert {k: v for k, v in got.items() if k[2]} == {
+        (2, 11, True): "Reads one row of the table.", (3, 12, True): "Gives what A has to offer.", (3, 15, True): "Mixes what is in the bowl.", (4, 9, True): "Counts all rows of it.", (5, 9, True): "Puts one value into it."}
+    assert all(k[2] or v for k, v in got.items())
+
+
 # 5 --------------------------------------------------------------------------------------------------------------------
 
 def test_origin():
