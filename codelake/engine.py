@@ -33,7 +33,7 @@ class Scan:
         return similarity.duplicate_pairs(self.blocks.select(F.col("ordinal").alias("id"), "source_code"))
 
     def health(self) -> DataFrame:
-        return analysis.health_score(self.nodes, self.edges, self.duplicates()[1])
+        return analysis.health_score(self.nodes, self.edges, similarity.duplicate_count(self.blocks.select(F.col("ordinal").alias("id"), "source_code")))
 
     def dead(self) -> DataFrame:
         return analysis.dead_items(self.nodes, self.edges).orderBy(F.desc("confidence"), "ordinal")

@@ -33,15 +33,14 @@ def long_functions(blocks: DataFrame, least: int = 10) -> DataFrame:
     return blocks.filter("block_type in ('function', 'method')").select("item_id", F.col("qualified_name").alias("name"), line_count().alias("line_count"), "ordinal").filter(F.col("line_count") >= least)
 
 
-def health_score(blocks: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
-    """One row: blocks, long functions, duplicate links, hubs (more than 10 neighbours) and the score from 100 down."""
+def health_score(blocks: DataFrame, edges: DataFrame, dup: DataFrame) -> DataFrame:
+    """One row: blocks, long functions, duplicate pairs (``dup``: one row, dup_n), hubs (more than 10 neighbours) and the score from 0 to 100."""
     n = blocks.agg(F.count("*").alias("n"))
     long = long_functions(blocks).agg(F.count("*").alias("long_n"))
-    dup = links.agg(F.count("*").alias("dup_n"))
     hub = degrees(edges).filter("total > 10").agg(F.count("*").alias("hub_n"))
     s = n.crossJoin(long).crossJoin(dup).crossJoin(hub)  # four single rows
     share = lambda c, top: F.least(F.lit(float(top)), 100.0 * F.col(c) / F.greatest("n", F.lit(1)))
-    return s.withColumn("score", F.when(F.col("n") == 0, 100).otherwise(F.bround(100 - share("long_n", 30) - share("dup_n", 30) - share("hub_n", 20), 0)).cast("int"))
+    return s.withColumn("score", F.when(F.col("n") == 0, 100).otherwise(F.greatest(F.lit(0.0), F.bround(100 - share("long_n", 30) - share("dup_n", 30) - share("hub_n", 20), 0))).cast("int"))
 
 
 def dead_items(nodes: DataFrame, edges: DataFrame) -> DataFrame:

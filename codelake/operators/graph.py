@@ -10,11 +10,17 @@ PRIORITY = ("type_reference", "import", "parent")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; a temporary one where it is unset."""
+    """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+
+    Only on one machine may that be unset: then a temporary folder is set. On a
+    cluster it is an error, since executors could not read each other's folders.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="codelake-")

@@ -119,3 +119,18 @@ def duplicate_pairs(texts: DataFrame, threshold: float = 0.75) -> tuple[DataFram
     reps, members = representatives(texts)
     sketch = cut_lineage(sketches(reps, 0))
     return members, verified(candidates(sketch, threshold), sketch, threshold)
+
+
+def duplicate_count(texts: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """One row, dup_n: the number of pairs of texts that are alike, copies included.
+
+    Pairs are not written: a class of n copies has n(n-1)/2, and a link between
+    classes of n and m copies stands for n times m. Texts of fewer words than ``sketches`` takes have none.
+    """
+    reps, members = representatives(texts)
+    sketch = cut_lineage(sketches(reps, 0))
+    size = members.groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("copies")).join(sketch.select("id"), "id")
+    links = verified(candidates(sketch, threshold), sketch, threshold)
+    across = links.join(size.select(F.col("id").alias("a"), F.col("copies").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("copies").alias("nb")), "b")
+    parts = size.select((F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("n")).unionByName(across.select((F.col("na") * F.col("nb")).alias("n")))
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("dup_n"))

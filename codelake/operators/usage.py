@@ -199,3 +199,113 @@ def rate_limited(e: DataFrame, key: str = "user_id", limit: int = 30, window_s:
 
     picked = e.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), "seq", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     return rows(picked.repartition("key").sortWithinPartitions("key", "seq"), decide, "key string, seq long, allowed boolean, retry_after double")
+
+
+def patterns(e: DataFrame, min_support: float = 0.01, pair_support: float = 0.05, pair_confidence: float = 0.3) -> DataFrame:
+    """Frequent runs and pairs in one table: pattern_id, kind, tools, frequency, support, confidence.
+
+    A run is as sure as it is frequent. Supports bound the number of patterns, so the table stays small.
+    """
+    run = sequential_patterns(e, min_support).select("pattern_id", F.lit("sequence").alias("kind"), F.array("t1", "t2", "t3").alias("tools"), F.col("n").alias("frequency"), "support", F.col("support").alias("confidence"))
+    pair = cooccurrence(e, pair_support, pair_confidence)
+    named = F.concat(F.lit("co_"), F.substring(F.md5(F.concat_ws("|", "a", "b")), 1, 8))
+    return run.unionByName(pair.select(named.alias("pattern_id"), F.lit("pair").alias("kind"), F.array("a", "b").alias("tools"), F.col("n").alias("frequency"), "support", "confidence"))
+
+
+def current_tools(e: DataFrame, n: int = 3) -> DataFrame:
+    """The tools of each user's last ``n`` events: user_id, tools (each once), last_tool; null users have none."""
+    return history(e.filter("user_id is not null"), n, "user_id").groupBy("user_id").agg(F.array_sort(F.collect_set("tool_name")).alias("tools"), F.max_by("tool_name", "seq").alias("last_tool"))
+
+
+def similar_patterns(found: DataFrame, current: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` patterns whose tools are most like those of each user: user_id, pattern_id, similarity, rank.
+
+    Joined on the tools that both have, so users and patterns without a common tool never meet.
+    """
+    p = found.select("pattern_id", F.array_distinct("tools").alias("_t")).select("pattern_id", F.size("_t").alias("_np"), F.explode("_t").alias("tool"))
+    c = current.select("user_id", F.size("tools").alias("_nc"), F.explode("tools").alias("tool"))
+    both = c.join(p, "tool").groupBy("user_id", "pattern_id", "_np", "_nc").agg(F.count("*").alias("_n"))
+    scored = both.select("user_id", "pattern_id", F.round(F.col("_n") / (F.col("_np") + F.col("_nc") - F.col("_n")), 6).alias("similarity"))
+    w = Window.partitionBy("user_id").orderBy(F.desc("similarity"), "pattern_id")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def pattern_recommendations(found: DataFrame, current: DataFrame, k: int = 5) -> DataFrame:
+    """Tools of each user's similar patterns that the user is not using: user_id, tool_name, confidence (of the most similar pattern that has it)."""
+    near = similar_patterns(found, current, k).join(found.select("pattern_id", "tools", "confidence"), "pattern_id")
+    each = near.select("user_id", "rank", "confidence", F.explode(F.array_distinct("tools")).alias("tool_name"))
+    new = each.join(current.select("user_id", F.explode("tools").alias("tool_name")), ["user_id", "tool_name"], "left_anti")
+    return new.groupBy("user_id", "tool_name").agg(F.min_by("confidence", "rank").alias("confidence"))
+
+
+def combined_recommendations(e: DataFrame, found: DataFrame, current: DataFrame, k: int = 5) -> DataFrame:
+    """What follows the user's last tool, then what similar patterns hold, each tool once by the first source that names it; the ``k`` surest."""
+    after = next_tools(e).select(F.col("src").alias("last_tool"), F.col("dst").alias("tool_name"), F.col("probability").alias("confidence"))
+    context = current.select("user_id", "last_tool").join(after, "last_tool").select("user_id", "tool_name", "confidence", F.lit(1).alias("source"))
+    both = context.unionByName(pattern_recommendations(found, current).withColumn("source", F.lit(2)))
+    first = both.groupBy("user_id", "tool_name").agg(F.min_by(F.struct("source", "confidence"), "source").alias("of"))
+    w = Window.partitionBy("user_id").orderBy(F.desc("of.confidence"), "tool_name")
+    return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("user_id", "tool_name", F.col("of.source").alias("source"), F.col("of.confidence").alias("confidence"), "rank")
+
+
+def workflow_suggestions(e: DataFrame, found: DataFrame, n: int = 8) -> DataFrame:
+    """What could be better in each user's last ``n`` steps: user_id, steps, repeated, loose, score.
+
+    ``repeated``: steps whose tool came before; ``loose``: neighbouring steps
+    of different tools that no pattern holds together; the score is 1 less the suggestions for each step.
+    """
+    w = Window.partitionBy("user_id").orderBy("seq")
+    last = history(e.filter("user_id is not null"), n, "user_id").select("user_id", "seq", "tool_name").withColumn("next", F.lead("tool_name").over(w))
+    tools = found.select("pattern_id", F.explode(F.array_distinct("tools")).alias("a"), "tools").select("a", F.explode(F.array_distinct("tools")).alias("b")).filter("a <> b").distinct()
+    known = last.join(tools.withColumn("held", F.lit(1)), (F.col("tool_name") == F.col("a")) & (F.col("next") == F.col("b")), "left")
+    loose = F.col("next").isNotNull() & (F.col("next") != F.col("tool_name")) & F.col("held").isNull()
+    g = known.groupBy("user_id").agg(F.count("*").alias("steps"), (F.count("*") - F.count_distinct("tool_name")).alias("repeated"), F.count_if(loose).alias("loose"))
+    return g.withColumn("score", F.round(1 - (F.col("repeated") + F.col("loose")) / F.col("steps"), 6))
+
+
+def workflow_runs(e: DataFrame) -> DataFrame:
+    """One row for each user and day: user_id, day, steps, succeeded (every step did), seconds."""
+    return e.filter("user_id is not null").groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        F.count("*").alias("steps"), F.coalesce(F.min("success"), F.lit(False)).alias("succeeded"), F.sum(F.col("execution_time").cast("decimal(18,4)")).alias("seconds"))
+
+
+def workflow_stats(runs: DataFrame) -> DataFrame:
+    """Runs, share of runs that succeeded, mean steps and seconds of each user."""
+    return runs.groupBy("user_id").agg(
+        F.count("*").alias("runs"), F.round(F.avg(F.col("succeeded").cast("double")), 6).alias("success_rate"), F.round(F.avg("steps"), 6).alias("mean_steps"),
+        F.round(F.sum("seconds").cast("double") / F.count("seconds"), 6).alias("mean_seconds"))
+
+
+def slow_steps(e: DataFrame, least_runs: int = 5, seconds: float = 1.0) -> DataFrame:
+    """The tool with the longest mean time of each user with more than ``least_runs`` days, where it is longer than ``seconds``."""
+    often = workflow_runs(e).groupBy("user_id").agg(F.count("*").alias("runs")).filter(F.col("runs") > least_runs)
+    mean = e.filter("user_id is not null and execution_time is not null").groupBy("user_id", "tool_name").agg(F.round(F.sum(F.col("execution_time").cast("decimal(18,4)")).cast("double") / F.count("*"), 6).alias("mean_time"))
+    top = mean.groupBy("user_id").agg(F.min(F.struct((-F.col("mean_time")).alias("m"), "tool_name")).alias("top"))
+    return top.join(often, "user_id").select("user_id", "runs", F.col("top.tool_name").alias("tool_name"), (-F.col("top.m")).alias("mean_time")).filter(F.col("mean_time") > seconds)
+
+
+def execution_summary(e: DataFrame, n: int = 5) -> DataFrame:
+    """Duration from first to last event, events and the last ``n`` tools of each user, the latest last."""
+    e = e.filter("user_id is not null")
+    whole = e.groupBy("user_id").agg(F.count("*").alias("executions"), F.floor((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1_000_000).alias("seconds"))
+    last = history(e, n, "user_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("seq", "tool_name"))).alias("l"))
+    return whole.join(last, "user_id").select("user_id", "executions", "seconds", F.array_join(F.col("l.tool_name"), ">").alias("recent_tools"))
+
+
+def sequence_violations(steps: DataFrame, needs: DataFrame) -> DataFrame:
+    """Steps before which a prerequisite is missing: key, pos, tool_name, missing.
+
+    ``steps``: key, pos, tool_name; ``needs``: tool_name, needed. A prerequisite
+    must stand at a smaller place of the same key; for each step only the first place of a tool is compared.
+    """
+    first = steps.groupBy("key", F.col("tool_name").alias("needed")).agg(F.min("pos").alias("at"))
+    asked = steps.join(needs.distinct(), "tool_name").join(first, ["key", "needed"], "left")
+    return asked.filter(F.col("at").isNull() | (F.col("at") >= F.col("pos"))).select("key", "pos", "tool_name", F.col("needed").alias("missing"))
+
+
+def system_score(found: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """Each user's score: 1 less 0.05 for each suggestion and 0.1, 0.05 or 0.02 for each bottleneck by severity, from 0 to 1."""
+    weight = F.when(F.col("severity") == "high", 0.1).when(F.col("severity") == "medium", 0.05).otherwise(0.02)
+    loss = found.agg(F.coalesce(F.sum(weight), F.lit(0.0)).alias("loss"))
+    n = suggestions.select("user_id", (F.col("repeated") + F.col("loose")).alias("suggestions"))
+    return n.crossJoin(F.broadcast(loss)).select("user_id", "suggestions", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - 0.05 * F.col("suggestions") - F.col("loss"))), 6).alias("score"))  # one row on the right

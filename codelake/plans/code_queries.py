@@ -219,14 +219,8 @@ def token_bag(spark: SparkSession, d: str) -> DataFrame:
     return D.bags(D.representatives(_texts(spark, d))[0]).groupBy("id").agg(F.count("*").alias("words"), F.max("n").alias("most"))
 
 
-@op("minhash_signatures", "similarity", w(BLOCKS, _BAG) + ", v AS (SELECT id, i, md5(concat(i, ':', token)) AS h FROM (SELECT c.id, c.token, unnest(range(4)) AS i FROM c JOIN s USING (id))) SELECT id, i::INTEGER AS i, min(('0x' || substr(h, 1, 8))::BIGINT) AS value FROM v GROUP BY 1, 2")
+@op("minhash_signatures", "similarity", w(BLOCKS, _BAG) + ", v AS (SELECT id, i, md5(concat(i, ':', token)) AS h FROM (SELECT c.id, c.token, unnest(range(64)) AS i FROM c JOIN s USING (id))) SELECT id, i::INTEGER AS i, min(('0x' || substr(h, 1, 8))::BIGINT) AS value FROM v GROUP BY 1, 2")
 def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:
-    """The first four MinHash coordinates of each distinct text."""
-    return D.signatures(D.sketches(D.representatives(_texts(spark, d))[0]), 4)
-
-
-@op("minhash_signatures_all", "similarity")
-def minhash_signatures_all(spark: SparkSession, d: str) -> DataFrame:
     """All MinHash coordinates of each distinct text."""
     return D.signatures(D.sketches(D.representatives(_texts(spark, d))[0]))
 
@@ -252,10 +246,16 @@ def long_functions_topk(spark: SparkSession, d: str) -> DataFrame:
     return A.long_functions(T.blocks(spark, d)).orderBy(F.desc("line_count"), "ordinal").limit(30).select("item_id", "name", "line_count")
 
 
-@op("health_score", "health")
+@op("health_score", "health", w(NODES, EDGES, _BAG) + f"""
+    , k AS (SELECT t.id, (SELECT count(*) FROM b WHERE b.source_code = t.source_code) AS copies FROM t JOIN s USING (id)),
+    x AS (SELECT a.id AS a, q.id AS b, sa.total AS ta, sb.total AS tb, sum(least(a.n, q.n))::BIGINT AS inner_n FROM c a JOIN c q ON a.token = q.token AND a.id < q.id JOIN s sa ON sa.id = a.id JOIN s sb ON sb.id = q.id WHERE least(sa.total, sb.total) >= 0.75 * greatest(sa.total, sb.total) GROUP BY 1, 2, 3, 4),
+    dp AS (SELECT (SELECT coalesce(sum(copies * (copies - 1) // 2), 0) FROM k) + (SELECT coalesce(sum(ka.copies * kb.copies), 0) FROM x JOIN k ka ON ka.id = x.a JOIN k kb ON kb.id = x.b WHERE inner_n::DOUBLE / (ta + tb - inner_n) >= 0.75) AS dup_n),
+    lf AS (SELECT count(*) AS long_n FROM (SELECT greatest(coalesce(end_line, line_number) - line_number, coalesce({lines('source_code')}, 0)) AS lc FROM n WHERE block_type IN ('function', 'method')) WHERE lc >= 10),
+    hb AS (SELECT count(*) AS hub_n FROM (SELECT u FROM (SELECT src AS u, dst AS v FROM e UNION ALL SELECT dst, src FROM e) GROUP BY u HAVING count(*) > 10)), al AS (SELECT count(*) AS n FROM n)
+    SELECT al.n, long_n, dup_n::BIGINT AS dup_n, hub_n, CASE WHEN al.n = 0 THEN 100 ELSE greatest(0, least(100, round_even(100 - least(30.0, 100.0 * long_n / al.n) - least(30.0, 100.0 * dup_n / al.n) - least(20.0, 100.0 * hub_n / al.n), 0)))::INTEGER END AS score FROM al, lf, dp, hb""")
 def health_score(spark: SparkSession, d: str) -> DataFrame:
     """Health of the code as one score with its parts."""
-    return A.health_score(T.nodes(spark, d), T.edges(spark, d), D.duplicate_pairs(_texts(spark, d))[1])
+    return A.health_score(T.nodes(spark, d), T.edges(spark, d), D.duplicate_count(_texts(spark, d)))
 
 
 @op("dead_items", "health", w(NODES, EDGES) + """

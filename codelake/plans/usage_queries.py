@@ -116,6 +116,100 @@ def insights_totals(spark: SparkSession, d: str) -> DataFrame:
     return T.events(spark, d).agg(F.count("*").alias("events"), F.count_distinct("tool_name").alias("tools"), F.count_distinct("user_id").alias("users"), F.round(F.avg(F.col("success").cast("double")), 6).alias("success_rate"))
 
 
+_CO = """
+    x AS (SELECT (seq - 1) // 3 AS w, list(DISTINCT tool_name) AS tools FROM ev GROUP BY 1), y AS (SELECT w, unnest(tools) AS tool FROM x WHERE len(tools) > 1), sg AS (SELECT tool, count(*) AS n FROM y GROUP BY 1),
+    pr AS (SELECT a.tool AS a, c.tool AS b, count(*) AS n FROM y a JOIN y c ON a.w = c.w AND a.tool < c.tool GROUP BY 1, 2), wn AS (SELECT ceil(max(seq) / 3) AS windows FROM ev),
+    co AS (SELECT pr.a, pr.b, pr.n, round(pr.n / wn.windows, 6) AS support, round(greatest(pr.n / sa.n, pr.n / sb.n), 6) AS confidence FROM pr JOIN sg sa ON sa.tool = pr.a JOIN sg sb ON sb.tool = pr.b, wn WHERE round(pr.n / wn.windows, 6) >= 0.05 AND round(greatest(pr.n / sa.n, pr.n / sb.n), 6) >= 0.3),
+    pt AS (SELECT 'seq_' || substr(md5('(''' || t1 || ''', ''' || t2 || ''', ''' || t3 || ''')'), 1, 8) AS pattern_id, 'sequence' AS kind, [t1, t2, t3] AS tools, n AS frequency, round(n / (SELECT sum(n) FROM g), 6) AS support, round(n / (SELECT sum(n) FROM g), 6) AS confidence FROM g WHERE round(n / (SELECT sum(n) FROM g), 6) >= 0.01
+        UNION ALL SELECT 'co_' || substr(md5(a || '|' || b), 1, 8), 'pair', [a, b], n, support, confidence FROM co),
+    cu AS (SELECT user_id, list(DISTINCT tool_name) AS tools, arg_max(tool_name, seq) AS last_tool FROM (SELECT * FROM ev WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) <= 3) GROUP BY 1),
+    sm AS (SELECT user_id, pattern_id, round(len(list_intersect(cu.tools, list_distinct(pt.tools))) / len(list_distinct(list_concat(cu.tools, pt.tools))), 6) AS similarity FROM cu, pt WHERE len(list_intersect(cu.tools, pt.tools)) > 0),
+    sr AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, pattern_id) AS rank FROM sm QUALIFY rank <= 5),
+    rc AS (SELECT user_id, tool_name, arg_min(confidence, rank) AS confidence FROM (SELECT sr.user_id, sr.rank, pt.confidence, unnest(list_distinct(pt.tools)) AS tool_name FROM sr JOIN pt USING (pattern_id)) WHERE NOT EXISTS (SELECT 1 FROM cu WHERE cu.user_id = user_id AND FALSE) GROUP BY 1, 2)"""
+_RC = _CO.replace(" WHERE NOT EXISTS (SELECT 1 FROM cu WHERE cu.user_id = user_id AND FALSE)", " z JOIN cu USING (user_id) WHERE NOT list_contains(cu.tools, z.tool_name)").replace("SELECT user_id, tool_name, arg_min(confidence, rank)", "SELECT user_id, tool_name, arg_min(z.confidence, z.rank)")
+_WF = "ls AS (SELECT user_id, tool_name, seq, lead(tool_name) OVER (PARTITION BY user_id ORDER BY seq) AS nx FROM (SELECT * FROM ev WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) <= 8)), hp AS (SELECT DISTINCT a, b FROM (SELECT unnest(tools) AS a, tools FROM pt), unnest(tools) AS u(b)), wf AS (SELECT user_id, count(*) AS steps, count(*) - count(DISTINCT tool_name) AS repeated, count(*) FILTER (nx IS NOT NULL AND nx <> tool_name AND NOT EXISTS (SELECT 1 FROM hp WHERE hp.a = tool_name AND hp.b = nx)) AS loose FROM ls GROUP BY 1)"
+
+
+@op("pattern_discovery", "usage", w(EVENTS, _TRI, _RC) + "SELECT pattern_id, kind, array_to_string(tools, '>') AS tools, frequency, support, confidence FROM pt")
+def pattern_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """Frequent runs and pairs of tools in one table."""
+    return U.patterns(T.events(spark, d)).withColumn("tools", F.array_join("tools", ">"))
+
+
+@op("similar_patterns", "usage", w(EVENTS, _TRI, _RC) + "SELECT user_id, pattern_id, similarity, rank::INTEGER AS rank FROM sr")
+def similar_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """The five patterns most like the last three tools of each user."""
+    e = T.events(spark, d)
+    return U.similar_patterns(U.patterns(e), U.current_tools(e))
+
+
+@op("pattern_recs", "usage", w(EVENTS, _TRI, _RC) + "SELECT * FROM rc")
+def pattern_recs(spark: SparkSession, d: str) -> DataFrame:
+    """Tools of similar patterns that each user is not using."""
+    e = T.events(spark, d)
+    return U.pattern_recommendations(U.patterns(e), U.current_tools(e))
+
+
+@op("combined_recs", "usage", w(EVENTS, _TRI, _RC) + """
+    , z AS (SELECT src, dst, sum(n)::BIGINT AS weight FROM (SELECT t1 AS src, t2 AS dst, n FROM g UNION ALL SELECT t2, t3, n FROM g) GROUP BY 1, 2), nt AS (SELECT *, round(weight / sum(weight) OVER (PARTITION BY src), 6) AS probability FROM z),
+    al AS (SELECT user_id, dst AS tool_name, probability AS confidence, 1 AS source FROM cu JOIN nt ON nt.src = cu.last_tool UNION ALL SELECT user_id, tool_name, confidence, 2 FROM rc), f AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY user_id, tool_name ORDER BY source) = 1)
+    SELECT user_id, tool_name, source, confidence, (row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, tool_name))::INTEGER AS rank FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, tool_name) <= 5""")
+def combined_recs(spark: SparkSession, d: str) -> DataFrame:
+    """The five surest tools for each user, by what follows the last one and by similar patterns."""
+    e = T.events(spark, d)
+    return U.combined_recommendations(e, U.patterns(e), U.current_tools(e))
+
+
+@op("workflow_suggestions", "usage", w(EVENTS, _TRI, _RC, _WF) + "SELECT *, round(1 - (repeated + loose) / steps, 6) AS score FROM wf")
+def workflow_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated and loosely joined steps among the last eight of each user."""
+    e = T.events(spark, d)
+    return U.workflow_suggestions(e, U.patterns(e))
+
+
+_RUNS = f"wr AS (SELECT user_id, ts::DATE AS day, count(*) AS steps, bool_and(success) AS succeeded, sum({_D}) AS seconds FROM ev WHERE user_id IS NOT NULL GROUP BY 1, 2)"
+
+
+@op("workflow_stats", "usage", w(EVENTS, _RUNS) + "SELECT user_id, count(*) AS runs, round(avg(succeeded::INT::DOUBLE), 6) AS success_rate, round(avg(steps), 6) AS mean_steps, round(sum(seconds)::DOUBLE / count(seconds), 6) AS mean_seconds FROM wr GROUP BY 1")
+def workflow_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Runs, success, steps and time of each user's days."""
+    return U.workflow_stats(U.workflow_runs(T.events(spark, d)))
+
+
+@op("slow_steps", "stream", w(EVENTS, _RUNS) + f", o AS (SELECT user_id, count(*) AS runs FROM wr GROUP BY 1 HAVING count(*) > 5), mt AS (SELECT user_id, tool_name, round(sum({_D})::DOUBLE / count(*), 6) AS mean_time FROM ev WHERE user_id IS NOT NULL AND execution_time IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY mean_time DESC, tool_name) = 1) SELECT user_id, runs, tool_name, mean_time FROM mt JOIN o USING (user_id) WHERE mean_time > 1.0")
+def slow_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The slowest tool of each user with more than five days of use."""
+    return U.slow_steps(T.events(spark, d))
+
+
+@op("execution_summary", "usage", w(EVENTS) + ", l AS (SELECT user_id, string_agg(tool_name, '>' ORDER BY seq) AS recent_tools FROM (SELECT * FROM ev WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) <= 5) GROUP BY 1) SELECT user_id, count(*) AS executions, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000)::BIGINT AS seconds, any_value(recent_tools) AS recent_tools FROM ev JOIN l USING (user_id) GROUP BY 1")
+def execution_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Events, duration and the last five tools of each user."""
+    return U.execution_summary(T.events(spark, d))
+
+
+NEEDS = (("purchase", "click"), ("purchase", "signup"), ("click", "view"))  # tool, what must come before it
+
+
+@op("sequence_violations", "stream", w(EVENTS) + """
+    , nd(tool_name, needed) AS (VALUES ('purchase', 'click'), ('purchase', 'signup'), ('click', 'view')), s AS (SELECT user_id AS key, seq AS pos, tool_name FROM ev WHERE user_id IS NOT NULL)
+    SELECT s.key, s.pos, s.tool_name, nd.needed AS missing FROM s JOIN nd USING (tool_name) WHERE NOT EXISTS (SELECT 1 FROM s p WHERE p.key = s.key AND p.tool_name = nd.needed AND p.pos < s.pos)""")
+def sequence_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a user before which a prerequisite is missing."""
+    steps = T.events(spark, d).filter("user_id is not null").select(F.col("user_id").alias("key"), F.col("seq").alias("pos"), "tool_name")
+    return U.sequence_violations(steps, spark.createDataFrame(list(NEEDS), "tool_name string, needed string"))
+
+
+@op("system_score", "usage", w(EVENTS, _TRI, _RC, _WF, _STATS) + """
+    , bn AS (SELECT CASE WHEN success_rate < 0.6 THEN 'high' ELSE 'medium' END AS severity FROM ts WHERE success_rate < 0.8 UNION ALL SELECT CASE WHEN avg_time > 10 THEN 'high' ELSE 'medium' END FROM ts WHERE avg_time > 5 UNION ALL SELECT 'low' FROM ts WHERE uses < 5 AND (SELECT count(*) FROM ev) > 100),
+    ls2 AS (SELECT coalesce(sum(CASE severity WHEN 'high' THEN 0.1 WHEN 'medium' THEN 0.05 ELSE 0.02 END), 0) AS loss FROM bn)
+    SELECT user_id, repeated + loose AS suggestions, round(greatest(0.0, least(1.0, 1.0 - 0.05 * (repeated + loose) - loss))::DOUBLE, 6) AS score FROM wf, ls2""")
+def system_score(spark: SparkSession, d: str) -> DataFrame:
+    """Score of each user's way of working, less what suggestions and bottlenecks cost."""
+    e = T.events(spark, d)
+    return U.system_score(U.bottlenecks(e), U.workflow_suggestions(e, U.patterns(e)))
+
+
 @op("moving_avg_alerts", "stream", w(EVENTS) + f", x AS (SELECT tool_name, seq, row_number() OVER (PARTITION BY tool_name ORDER BY seq) AS k, avg({_D}) OVER (PARTITION BY tool_name ORDER BY seq ROWS 9 PRECEDING) AS m FROM ev WHERE execution_time <> 0) SELECT tool_name, seq, round(m::DOUBLE, 4) AS mean_time FROM x WHERE k > 10 AND m > 2.0")
 def moving_avg_alerts(spark: SparkSession, d: str) -> DataFrame:
     """Events at which the mean of a tool's last ten times is too long."""
@@ -221,14 +315,8 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return nearest(e.filter("vec_id % 20 = 0"), e, 5)
 
 
-@op("label_centroids", "vectors", "SELECT label, count(*) AS vectors, round(avg(embedding[1]::DOUBLE), 5) AS first_mean FROM embeddings GROUP BY 1")
+@op("label_centroids", "vectors", "SELECT label, (i - 1)::INTEGER AS i, count(x) AS vectors, round(avg(x::DOUBLE), 5) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2")
 def label_centroids(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors and mean of the first coordinate for each label."""
-    return T.read(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("vectors"), F.round(F.avg(F.get("embedding", F.lit(0)).cast("double")), 5).alias("first_mean"))
-
-
-@op("label_centroids_all", "vectors")
-def label_centroids_all(spark: SparkSession, d: str) -> DataFrame:
     """Mean of each coordinate for each label, with the vectors that have it."""
     each = T.read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     return each.groupBy("label", "i").agg(F.count("x").alias("vectors"), F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))

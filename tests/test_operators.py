@@ -60,9 +60,9 @@ def test_health_and_dead(spark):
     assert [r["line_count"] for r in A.long_functions(b).filter("name = 'long'").collect()] == [199]
     dead = {r["name"]: r["confidence"] for r in A.dead_items(b, edges(spark)).collect()}
     assert dead == {"long": 0.8, "main": 0.2, "_x": 0.9, "test_y": 0.3, "__init__": 0.1}
-    s = A.health_score(b, edges(spark), spark.createDataFrame([], "a long, b long, similarity double")).first()
+    s = A.health_score(b, edges(spark), spark.createDataFrame([(0,)], "dup_n long")).first()
     assert 0 <= s["score"] <= 100
-    assert A.health_score(blocks(spark), edges(spark), spark.createDataFrame([], "a long, b long")).first()["score"] == 100
+    assert A.health_score(blocks(spark), edges(spark), spark.createDataFrame([(0,)], "dup_n long")).first()["score"] == 100
 
 
 def test_parameters_and_docs(spark):
@@ -180,12 +180,12 @@ def test_all_coordinates(spark):
         words = [x.lower() for x in re.findall(r"[a-zA-Z_]\w+", t)]
         if len(words) >= 5:
             want |= {(o, i): min(int(hashlib.md5(f"{i}:{x}".encode()).hexdigest()[:8], 16) for x in set(words)) for i in range(64)}
-    assert {(r["id"], r["i"]): r["value"] for r in QUERIES["minhash_signatures_all"](spark, d).collect()} == want
+    assert {(r["id"], r["i"]): r["value"] for r in QUERIES["minhash_signatures"](spark, d).collect()} == want
     sums = {}
     for r in spark.read.parquet(f"{d}/embeddings.parquet").select("label", "embedding").filter("embedding is not null").collect():
         for i, x in enumerate(r[1]):
             if x is not None:
                 sums.setdefault((r[0], i), []).append(float(x))
-    got = {(r["label"], r["i"]): (r["vectors"], r["mean"]) for r in QUERIES["label_centroids_all"](spark, d).collect()}
+    got = {(r["label"], r["i"]): (r["vectors"], r["mean"]) for r in QUERIES["label_centroids"](spark, d).collect()}
     assert got.keys() == sums.keys() and len({i for _, i in got}) > 1
     assert all(n == len(sums[k]) and abs(m - sum(sums[k]) / n) < 1e-5 for k, (n, m) in got.items())
