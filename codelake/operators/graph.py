@@ -105,7 +105,7 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
         frontier = cut_lineage(step.join(reached, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return reached.filter("depth > 0")
-        reached = cut_lineage(reached.unionByName(frontier))
+        reached = reached.unionByName(frontier)  # each round is a checkpoint of its own, read again but not rewritten
 
 
 def mutual_pairs(edges: DataFrame) -> DataFrame:

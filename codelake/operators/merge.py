@@ -93,10 +93,10 @@ def renamed(m: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def resolvable(m: DataFrame, palette: DataFrame) -> DataFrame:
-    """Open references with the blocks that need them and the items of the palette that could meet them, those with candidates first."""
-    need = unresolved(m).groupBy("reference").agg(F.sort_array(F.collect_set("key")).alias("needed_by"))
-    have = palette.join(m.select("key"), "key", "left_anti").groupBy(F.col("name").alias("reference")).agg(F.sort_array(F.collect_set("key")).alias("candidates"))
-    return need.join(have, "reference", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
+    """Open references of a merge: reference, needed_by (blocks), candidates (items of the palette outside the merge that could meet it), first_candidate (least key)."""
+    need = unresolved(m).groupBy("reference").agg(F.count("*").alias("needed_by"))
+    have = palette.join(m.select("key"), "key", "left_anti").groupBy(F.col("name").alias("reference")).agg(F.count("*").alias("candidates"), F.min("key").alias("first_candidate"))
+    return need.join(have, "reference", "left").select("reference", "needed_by", F.coalesce("candidates", F.lit(0)).alias("candidates"), "first_candidate")
 
 
 def palette(items: DataFrame, scans: DataFrame, blocks: DataFrame) -> DataFrame:

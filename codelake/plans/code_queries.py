@@ -164,7 +164,7 @@ def closure_from_roots(spark: SparkSession, d: str) -> DataFrame:
     return G.closure(T.edges(spark, d), _roots(spark, d)).select("root", "node").distinct()
 
 
-@op("closure_depths", "graph")
+@op("closure_depths", "graph", wr(EDGES) + ", r(root, node, depth) AS (SELECT src, src, 0 FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 200), l AS (SELECT root, node, min(depth) AS depth FROM r WHERE root <> node GROUP BY 1, 2) SELECT depth, count(*) AS pairs FROM l GROUP BY 1")
 def closure_depths(spark: SparkSession, d: str) -> DataFrame:
     """How many items the roots reach at each depth."""
     return G.closure(T.edges(spark, d), _roots(spark, d)).groupBy("depth").agg(F.count("*").alias("pairs"))
@@ -421,13 +421,17 @@ def diff_counts(spark: SparkSession, d: str) -> DataFrame:
     return A.diff(*_two(spark, d)).groupBy("change").agg(F.count("*").alias("items"))
 
 
-@op("diff_rows", "diff")
+@op("diff_rows", "diff", w(BLOCKS) + f"""
+    , k AS (SELECT name, block_type, coalesce(language, '') AS language, source_code, ordinal, scan_id < '8' AS first_scan FROM b WHERE name IS NOT NULL),
+    a AS (SELECT * FROM k WHERE first_scan QUALIFY row_number() OVER (PARTITION BY name, block_type, language ORDER BY ordinal DESC) = 1), z AS (SELECT * FROM k WHERE NOT first_scan QUALIFY row_number() OVER (PARTITION BY name, block_type, language ORDER BY ordinal DESC) = 1)
+    SELECT * FROM (SELECT CASE WHEN a.name IS NULL THEN 'added' WHEN z.name IS NULL THEN 'removed' WHEN {STRIP.format('a.source_code')} <> {STRIP.format('z.source_code')} THEN 'modified' ELSE 'unchanged' END AS change, coalesce(a.name, z.name) AS name, coalesce(a.block_type, z.block_type) AS block_type, coalesce(a.language, z.language) AS language, a.source_code[:1500] AS a_code, z.source_code[:1500] AS b_code
+    FROM a FULL JOIN z ON a.name = z.name AND a.block_type = z.block_type AND a.language = z.language) WHERE change <> 'unchanged' """)
 def diff_rows(spark: SparkSession, d: str) -> DataFrame:
     """The changes themselves."""
     return A.diff(*_two(spark, d)).filter("change <> 'unchanged'")
 
 
-@op("entry_points", "tour")
+@op("entry_points", "tour", w(NODES, EDGES) + """, f AS (SELECT dst AS item_id, count(*) AS fan_in FROM e GROUP BY 1) SELECT n.item_id, n.name, coalesce(fan_in, 0) AS fan_in, n.ordinal FROM n LEFT JOIN f USING (item_id) WHERE lower(name) IN ('main', 'app', 'index', 'setup', 'run', 'start', 'serve', '__main__', '__init__') OR contains(lower(name), 'main') OR contains(lower(name), 'app') OR contains(lower(name), 'index') ORDER BY fan_in, ordinal LIMIT 5""")
 def entry_points(spark: SparkSession, d: str) -> DataFrame:
     """Likely entry points, those least referred to first."""
     return A.entry_points(T.nodes(spark, d), T.edges(spark, d))
@@ -509,11 +513,14 @@ def palette(spark: SparkSession, d: str) -> DataFrame:
     return M.palette(T.items(spark, d), T.read(spark, d, "scans"), T.blocks(spark, d)).select("key", "project_name", "ordinal", F.coalesce(F.size("type_references"), F.lit(-1)).cast("long").alias("refs"))
 
 
-@op("resolvable_deps", "merge")
+@op("resolvable_deps", "merge", w(BLOCKS, ITEMS, _SCANS) + """
+    , m AS (SELECT *, concat_ws('::', scan_id, item_id) AS key FROM b WHERE scan_id < '8' QUALIFY row_number() OVER (PARTITION BY scan_id, item_id ORDER BY ordinal DESC) = 1), kn AS (SELECT DISTINCT unnest([name, qualified_name]) AS x FROM m),
+    un AS (SELECT key, unnest(list_distinct(type_references)) AS reference FROM m), nd AS (SELECT reference, count(*) AS needed_by FROM un WHERE reference NOT IN (SELECT x FROM kn WHERE x IS NOT NULL) GROUP BY 1),
+    p AS (SELECT i.name, concat_ws('::', i.scan_id, i.item_id) AS key FROM i JOIN sc ON sc.scan_id = i.scan_id AND sc.status = 'ready'), h AS (SELECT name AS reference, count(*) AS candidates, min(key) AS first_candidate FROM p WHERE key NOT IN (SELECT key FROM m) GROUP BY 1)
+    SELECT reference, needed_by, coalesce(candidates, 0) AS candidates, first_candidate FROM nd LEFT JOIN h USING (reference)""")
 def resolvable_deps(spark: SparkSession, d: str) -> DataFrame:
-    """Open references of the service classes and who could meet them."""
-    m = _merged(spark, d)
-    return M.resolvable(m.filter("name like '%Service'"), m)
+    """Open references of the merge of one half of the scans, and what the palette of all scans has for them."""
+    return M.resolvable(M.merged(T.blocks(spark, d).filter("scan_id < '8'")), M.palette(T.items(spark, d), T.read(spark, d, "scans"), T.blocks(spark, d)))
 
 
 @op("template_match", "merge", w(BLOCKS, ITEMS, _SCANS) + ", w AS (SELECT DISTINCT name, block_type, language FROM b WHERE block_type = 'class'), p AS (SELECT i.*, concat_ws('::', i.scan_id, i.item_id) AS key FROM i JOIN sc ON sc.scan_id = i.scan_id AND sc.status = 'ready' QUALIFY row_number() OVER (PARTITION BY name, block_type, language ORDER BY ordinal) = 1) SELECT w.name, w.block_type, w.language, p.key FROM w LEFT JOIN p USING (name, block_type, language)")
