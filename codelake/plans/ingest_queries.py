@@ -23,11 +23,12 @@ def scan_items(spark: SparkSession, d: str) -> DataFrame:
 
 @op("scan_agreement", "scan")
 def scan_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Python items found by the parser against the stored ones: by kind, how many are in both, and in one alone."""
-    found = I.scan(T.files(spark, d, "language = 'python'")).filter("language = 'python'").select("item_id", "name", "block_type").distinct().withColumn("f", F.lit(1))
-    held = T.items(spark, d, "language = 'python'").select("item_id", "name", "block_type").distinct().withColumn("h", F.lit(1))
+    """Items found by the scanners against the stored ones: by language and kind, how many are in both, and in one alone."""
+    key = ["item_id", "name", "block_type", "language"]
+    found = I.scan(T.files(spark, d)).select(*key).distinct().withColumn("f", F.lit(1))
+    held = T.items(spark, d).select(*key).distinct().withColumn("h", F.lit(1))
     where = F.when(F.col("h").isNull(), "parser").when(F.col("f").isNull(), "stored").otherwise("both")
-    return found.join(held, ["item_id", "name", "block_type"], "full").groupBy("block_type", where.alias("found_in")).agg(F.count("*").alias("items"))
+    return found.join(held, key, "full").groupBy("language", "block_type", where.alias("found_in")).agg(F.count("*").alias("items"))
 
 
 @op("scan_numbered", "scan")
