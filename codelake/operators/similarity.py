@@ -16,6 +16,7 @@ from codelake.operators.graph import cut_lineage
 
 HASHES = 64  # coordinates of the md5 signature
 BANDS, BAND_ROWS = 48, 6
+PLACES = ("p0", "p1", "p2", "p3")  # numbers that say which of 256 places a text's elements take
 
 
 def bags(texts: DataFrame, least: int = 5) -> DataFrame:
@@ -28,11 +29,15 @@ def bags(texts: DataFrame, least: int = 5) -> DataFrame:
 
 
 def representatives(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(reps, members): one text of each set of equal texts (its least id), and (id, rep) for all."""
-    t = texts.filter("source_code is not null").withColumn("h", F.sha2("source_code", 256))
-    reps = t.groupBy("h").agg(F.min("id").alias("id"), F.any_value("source_code").alias("source_code"))  # merged before the shuffle
-    members = t.select("id", "h").join(t.groupBy("h").agg(F.min("id").alias("rep")), "h").select("id", "rep")
-    return reps.select("id", "source_code"), members
+    """(reps, members): one text of each set of equal texts (its least id) with its copies, and (id, rep) for all.
+
+    Repeated rows of one id count once. They are settled by hashes, so a text is shuffled once.
+    """
+    t = texts.filter("source_code is not null").withColumn("h", F.unhex(F.sha2("source_code", 256)))
+    ids = t.select("id", "h").dropDuplicates(["id"])
+    classes = ids.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    reps = classes.join(t.groupBy("h").agg(F.any_value("source_code").alias("source_code")).hint("merge"), "h")  # merged before the shuffle
+    return reps.select(F.col("rep").alias("id"), "source_code", "copies"), ids.join(classes.hint("merge"), "h").select("id", "rep")
 
 
 _WORD = re.compile(r"[a-zA-Z_]\w+")
@@ -52,7 +57,10 @@ def band_keys(elements: np.ndarray) -> np.ndarray:
     """A key for each band of the MinHash of a set of 64-bit numbers; a pair at 0.75 misses all bands with a chance of 8e-5."""
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(elements), 512):  # in pieces, so a long text takes no more memory
-        np.minimum(least, (((elements[at : at + 512, None] * _ODD) + _ADD) >> np.uint64(16)).min(axis=0), out=least)
+        x = elements[at : at + 512, None] * _ODD
+        x += _ADD
+        np.minimum(least, x.min(axis=0), out=least)
+    least >>= np.uint64(16)
     key = np.zeros(BANDS, np.uint64)
     for r in range(BAND_ROWS):
         key = (key ^ least.reshape(BANDS, BAND_ROWS)[:, r]) * np.uint64(0x9FB21C651E98DF25)
@@ -60,38 +68,70 @@ def band_keys(elements: np.ndarray) -> np.ndarray:
     return ((np.arange(BANDS, dtype=np.uint64) << np.uint64(48)) | (key >> np.uint64(16))).astype(np.int64)
 
 
+def elements_of(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One 64-bit number for each word and occurrence, from a 64-bit code of each word."""
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    x = np.repeat(codes, counts) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for by in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(by)
+    return x ^ (x >> np.uint64(31))
+
+
+def places(elements: np.ndarray) -> np.ndarray:
+    """Which of 256 places hold an element, as four numbers of 64 bits."""
+    held = np.zeros(64 * len(PLACES), bool)
+    held[(elements & np.uint64(64 * len(PLACES) - 1)).astype(np.int64)] = True
+    return np.packbits(held).view(np.int64)
+
+
 def sketches(texts: DataFrame, hashes: int = HASHES, least: int = 5) -> DataFrame:
-    """(id, total, signature, elements, keys) of each text of at least ``least`` words; null texts have none.
+    """(id, copies, total, signature, elements, p0 to p3) of each text of at least ``least`` words; null texts have none.
 
     Coordinate i of the signature is the least of the first 32 bits of
     md5("i:word") over the text's words; a task hashes each word of its
     vocabulary once. ``elements`` stands for the bag: one number for each word
     and occurrence, so the bag similarity is that of the sets of numbers, and
-    ``keys`` are the band keys of that set. Nothing is shuffled.
+    p0 to p3 are their ``places``. Nothing is shuffled.
     """
     known: dict[str, np.ndarray] = {}
+    codes: dict[str, int] = {}
 
     def run(b: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("id", "total", "signature", "elements", "keys")}
-        for i, t in zip(b["id"], b["source_code"], strict=True):
-            words = [w.lower() for w in _WORD.findall(t)] if t else []
+        out: dict[str, list] = {k: [] for k in ("id", "copies", "total", "signature", "elements", *PLACES)}
+        for i, t, c in zip(b["id"], b["source_code"], b["copies"], strict=True):
+            words = _WORD.findall(t.lower() if t.isascii() else t) if t else []
             if len(words) < least:
                 continue
-            counts = Counter(words)
-            if len(known) > KNOWN:
-                known.clear()
+            counts = Counter(words if t.isascii() else [w.lower() for w in words])
+            for kept in (known, codes):
+                if len(kept) > KNOWN:
+                    kept.clear()
             for w in counts if hashes else ():
                 if w not in known:
                     known[w] = _word_hashes(w, hashes)
+            for w in counts:
+                if w not in codes:
+                    codes[w] = int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little")
+            e = elements_of(np.fromiter((codes[w] for w in counts), np.uint64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts)))
             out["id"].append(i)
+            out["copies"].append(c)
             out["total"].append(len(words))
             out["signature"].append(np.min([known[w] for w in counts], axis=0) if hashes else [])
-            e = np.array([int.from_bytes(blake2b(f"{k}:{w}".encode(), digest_size=8).digest(), "little") for w, n in counts.items() for k in range(n)], np.uint64)
-            out["elements"].append(e.astype(np.int64))
-            out["keys"].append(band_keys(e))
+            out["elements"].append(e.view(np.int64))
+            for p, v in zip(PLACES, places(e).tolist(), strict=True):
+                out[p].append(v)
         return out
 
-    return rows(texts.select("id", "source_code"), run, "id long, total int, signature array<long>, elements array<long>, keys array<long>")
+    return rows(texts.select("id", "source_code", "copies"), run, f"id long, copies long, total int, signature array<long>, elements array<long>, {', '.join(f'{p} long' for p in PLACES)}")
+
+
+def bands(sketch: DataFrame) -> DataFrame:
+    """(id, total, key): the band keys of each text."""
+    def run(b: dict[str, list]) -> dict[str, list]:
+        return {"id": b["id"], "total": b["total"], "keys": [band_keys(np.array(e, np.int64).view(np.uint64)) for e in b["elements"]]}
+
+    return rows(sketch.select("id", "total", "elements"), run, "id long, total int, keys array<long>").select("id", "total", F.explode("keys").alias("key"))
 
 
 def signatures(sketch: DataFrame, first: int = HASHES) -> DataFrame:
@@ -100,18 +140,29 @@ def signatures(sketch: DataFrame, first: int = HASHES) -> DataFrame:
 
 
 def candidates(sketch: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """(a, b): texts that share a band key and whose sizes allow the threshold, a < b."""
-    band = sketch.select("id", "total", F.explode("keys").alias("key"))
+    """(a, b): texts that share a band key and whose sizes allow the threshold, a < b.
+
+    The sides of this and the next joins are merged: Spark takes a sketch for a share of the stored file
+    and its bands for no more than that, so it would broadcast them.
+    """
+    band = bands(sketch)
     left, right = band.select("key", F.col("id").alias("a"), F.col("total").alias("ta")), band.select("key", F.col("id").alias("b"), F.col("total").alias("tb"))
-    return left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.least("ta", "tb") >= threshold * F.greatest("ta", "tb"))).select("a", "b").distinct()
+    return left.join(right.hint("merge"), "key").filter((F.col("a") < F.col("b")) & (F.least("ta", "tb") >= threshold * F.greatest("ta", "tb"))).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, sketch: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """(a, b, similarity): candidate pairs whose sum of lesser over sum of greater counts reaches the threshold."""
-    side = lambda n: sketch.select(F.col("id").alias(n), F.col("elements").alias(f"e{n}"), F.col("total").alias(f"t{n}"))
-    p = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("inner_n", F.size(F.array_intersect("ea", "eb")))
-    s = p.withColumn("similarity", F.col("inner_n") / (F.col("ta") + F.col("tb") - F.col("inner_n")))
-    return s.filter(F.col("similarity") >= threshold).select("a", "b", F.round("similarity", 3).alias("similarity"))
+    """(a, b, similarity): candidate pairs whose sum of lesser over sum of greater counts reaches the threshold.
+
+    A place that one text holds and the other doesn't is an element that they
+    don't share. Pairs that can't reach the threshold for that are left out
+    before the elements are joined.
+    """
+    side = lambda n, *more: sketch.select(F.col("id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in more)).hint("merge")
+    of = lambda inner: inner / (F.col("total_a") + F.col("total_b") - inner)
+    alone = lambda x, y: F.col(f"total_{x}") - sum((F.bit_count(F.col(f"{p}_{x}").bitwiseAND(F.bitwise_not(f"{p}_{y}"))) for p in PLACES), F.lit(0))
+    near = pairs.join(side("a", "total", *PLACES), "a").join(side("b", "total", *PLACES), "b").filter(of(F.least(alone("a", "b"), alone("b", "a"))) >= threshold).select("a", "b", "total_a", "total_b")
+    p = near.join(side("a", "elements"), "a").join(side("b", "elements"), "b").withColumn("similarity", of(F.size(F.array_intersect("elements_a", "elements_b"))))
+    return p.filter(F.col("similarity") >= threshold).select("a", "b", F.round("similarity", 3).alias("similarity"))
 
 
 def duplicate_pairs(texts: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:
@@ -127,10 +178,9 @@ def duplicate_count(texts: DataFrame, threshold: float = 0.75) -> DataFrame:
     Pairs are not written: a class of n copies has n(n-1)/2, and a link between
     classes of n and m copies stands for n times m. Texts of fewer words than ``sketches`` takes have none.
     """
-    reps, members = representatives(texts)
-    sketch = cut_lineage(sketches(reps, 0))
-    size = members.groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("copies")).join(sketch.select("id"), "id")
+    sketch = cut_lineage(sketches(representatives(texts)[0], 0))
     links = verified(candidates(sketch, threshold), sketch, threshold)
-    across = links.join(size.select(F.col("id").alias("a"), F.col("copies").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("copies").alias("nb")), "b")
-    parts = size.select((F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("n")).unionByName(across.select((F.col("na") * F.col("nb")).alias("n")))
+    size = lambda n: sketch.select(F.col("id").alias(n), F.col("copies").alias(f"n{n}")).hint("merge")
+    across = links.join(size("a"), "a").join(size("b"), "b")
+    parts = sketch.select((F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("n")).unionByName(across.select((F.col("na") * F.col("nb")).alias("n")))
     return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("dup_n"))

@@ -206,7 +206,8 @@ def item_stats(spark: SparkSession, d: str) -> DataFrame:
 # Similarity and health -----------------------------------------------------------------------------------------------
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return T.blocks(spark, d).select(F.col("ordinal").alias("id"), "source_code")
+    """Texts by ordinal; repeated rows are left to ``representatives``."""
+    return T.read(spark, d, "blocks").select(F.col("ordinal").alias("id"), "source_code")
 
 
 _BAG = r"""t AS (SELECT min(ordinal) AS id, source_code FROM b WHERE source_code IS NOT NULL GROUP BY source_code), c0 AS (SELECT id, lower(unnest(regexp_extract_all(source_code, '[a-zA-Z_][\p{L}\p{N}_]+'))) AS token FROM t),

@@ -92,6 +92,30 @@ def test_duplicates(spark):
     assert [(r["a"], r["b"], r["similarity"]) for r in links.collect()] == [(1, 3, 0.923)]
 
 
+def test_duplicates_broadcast_no_sketch(spark, tmp_path):
+    t = "alpha beta gamma delta epsilon zeta eta"
+    spark.createDataFrame([(1, t), (2, t), (3, t + " theta")], "id long, source_code string").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")  # a file's size is known and small, so its joins are broadcast unless told otherwise
+    members, links = D.duplicate_pairs(df)
+    for x in (members, links, D.duplicate_count(df)):
+        assert "Broadcast" not in x._jdf.queryExecution().executedPlan().toString()
+    assert D.duplicate_count(df).first()["dup_n"] == 3
+
+
+def test_duplicate_places_and_repeats(spark):
+    words = [f"w{i:03d}" for i in range(60)]
+    near, far = [*words[:55], *(f"x{i}" for i in range(5))], [*words[:48], *(f"y{i}" for i in range(12))]  # 55 / 65, 48 / 72
+    texts = [" ".join(x) for x in (words, near, far, ["the_word"] * 40, ["the_word"] * 30, ["the_word"] * 29)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (9, texts[1])], "id long, source_code string")
+    _, links = D.duplicate_pairs(df)
+    alike = {(r["a"], r["b"]): r["similarity"] for r in links.collect()}
+    every = spark.createDataFrame([(a, b) for a in range(6) for b in range(a + 1, 6)], "a long, b long")
+    exact = {(r["a"], r["b"]): r["similarity"] for r in D.verified(every, D.sketches(D.representatives(df)[0], 0)).collect()}
+    assert exact == {(0, 1): 0.846, (3, 4): 0.75, (4, 5): 0.967} and alike.items() <= exact.items()
+    assert (0, 1) in alike and (4, 5) in alike
+    assert D.duplicate_count(df).first()["dup_n"] == 1 + sum(2 if 1 in p else 1 for p in alike)
+
+
 def test_merge(spark):
     s = scans(spark, ("p1", "one", "/x", "ready"), ("p2", "two", "/y", "ready"))
     clean = M.merged(blocks(spark, block("a", scan_id="p1"), block("b", scan_id="p2", ordinal=2)))
