@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PRIORITY = ("type_reference", "import", "parent")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of reliable checkpoints: what ``spark.checkpoint.dir`` names.
 
     Only on one machine may that be unset: then a temporary folder is set. On a
     cluster it is an error, since executors could not read each other's folders.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -25,6 +25,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix="codelake-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in ``checkpoint_folder``."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

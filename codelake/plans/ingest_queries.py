@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,13 +100,27 @@ def docs_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    from codelake.operators.graph import cut_lineage
+    """What a stream over all that is available gives.
+
+    Appended rows go to files beside the checkpoints, as there may be one for
+    each event; the memory sink keeps its rows in the driver and takes only
+    complete results, which are small.
+    """
+    from codelake.operators.graph import checkpoint_folder, cut_lineage
 
     spark = stream.sparkSession
-    spark.sql(f"DROP VIEW IF EXISTS {name}")
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return cut_lineage(spark.table(name))
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
+    if mode != "append":
+        spark.sql(f"DROP VIEW IF EXISTS {name}")
+        writer.format("memory").queryName(name).start().awaitTermination()
+        return cut_lineage(spark.table(name))
+    at = f"{checkpoint_folder(spark)}/{name}-{uuid4().hex}"
+    try:
+        writer.format("parquet").option("checkpointLocation", f"{at}/state").start(f"{at}/rows").awaitTermination()
+        return cut_lineage(spark.read.schema(stream.schema).parquet(f"{at}/rows"))
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import os
 import time
 
+from codelake import registry
 from codelake.engine import Engine
+from codelake.plans import catalogue  # noqa: F401
 from codelake.sinks import export
 from codelake.sources import tree
 from codelake.streaming import jobs
@@ -54,3 +56,14 @@ def test_streams(spark, tmp_path):
         time.sleep(0.5)
     q.stop()
     assert seen and {"run", "Helper"} <= seen[0]
+
+
+def test_appended_streams_stay_out_of_the_driver(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:00:{i:02d}", 7 if i else None, "click", 900.0, "{}") for i in range(15)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").selectExpr("event_id", "to_timestamp(ts) AS ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    got = [(r["key"], r["seq"], r["allowed"], r["retry_after"]) for r in registry.run(spark, "stream_rate_limit", str(tmp_path)).orderBy("seq").collect()]
+    assert got == [("7", i, i < 4, 0.0 if i < 4 else 86_401.0 - i) for i in range(1, 15)]
+    assert [(r["seq"], r["mean_time"]) for r in registry.run(spark, "stream_slow_tools", str(tmp_path)).orderBy("seq").collect()] == [(i, 90.0) for i in range(10, 15)]
+    assert not {"stream_rate_limit", "stream_slow_tools"} & {t.name for t in spark.catalog.listTables()}
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    assert os.path.isdir(folder) and not [x for x in os.listdir(folder) if x.startswith("stream_")]
