@@ -33,10 +33,11 @@ def long_functions(blocks: DataFrame, least: int = 10) -> DataFrame:
     return blocks.filter("block_type in ('function', 'method')").select("item_id", F.col("qualified_name").alias("name"), line_count().alias("line_count"), "ordinal").filter(F.col("line_count") >= least)
 
 
-def health_score(blocks: DataFrame, edges: DataFrame, dup: DataFrame) -> DataFrame:
+def health_score(blocks: DataFrame, edges: DataFrame, dup: DataFrame, least: int = 10) -> DataFrame:
     """One row: blocks, long functions, duplicate pairs (``dup``: one row, dup_n), hubs (more than 10 neighbours) and the score from 0 to 100."""
     n = blocks.agg(F.count("*").alias("n"))
-    long = long_functions(blocks).agg(F.count("*").alias("long_n"))
+    lines = F.col("line_count") if "line_count" in blocks.columns else line_count()  # counted before texts are shuffled, or here
+    long = blocks.filter("block_type in ('function', 'method')").filter(lines >= least).agg(F.count("*").alias("long_n"))
     hub = degrees(edges).filter("total > 10").agg(F.count("*").alias("hub_n"))
     s = n.crossJoin(long).crossJoin(dup).crossJoin(hub)  # four single rows
     share = lambda c, top: F.least(F.lit(float(top)), 100.0 * F.col(c) / F.greatest("n", F.lit(1)))

@@ -256,7 +256,8 @@ def long_functions_topk(spark: SparkSession, d: str) -> DataFrame:
     SELECT al.n, long_n, dup_n::BIGINT AS dup_n, hub_n, CASE WHEN al.n = 0 THEN 100 ELSE greatest(0, least(100, round_even(100 - least(30.0, 100.0 * long_n / al.n) - least(30.0, 100.0 * dup_n / al.n) - least(20.0, 100.0 * hub_n / al.n), 0)))::INTEGER END AS score FROM al, lf, dp, hb""")
 def health_score(spark: SparkSession, d: str) -> DataFrame:
     """Health of the code as one score with its parts."""
-    return A.health_score(T.nodes(spark, d), T.edges(spark, d), D.duplicate_count(_texts(spark, d)))
+    b = T.read(spark, d, "blocks").select("ordinal", "item_id", "block_type", A.line_count().alias("line_count"))
+    return A.health_score(T.last_by_item(T.one_each(b)), T.edges(spark, d), D.duplicate_count(_texts(spark, d)))
 
 
 @op("dead_items", "health", w(NODES, EDGES) + """

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from codelake import registry
@@ -102,6 +103,17 @@ def test_duplicates_broadcast_no_sketch(spark, tmp_path):
     assert D.duplicate_count(df).first()["dup_n"] == 3
 
 
+def test_bags_and_line_counts(spark):
+    codes, counts = np.array([2**48 - 1, 5, 7], np.uint64), np.array([1, 2, 3])
+    for n in (counts, counts * 300):  # counts of one byte, and of four
+        assert [x.tolist() for x in D.unpack(D.pack(codes, n))] == [[5, 7, 2**48 - 1], [n[1], n[2], n[0]]]
+    assert D.common(D.pack(codes, counts), D.pack(codes[1:], counts[1:] * 300)) == 5 and D.common(D.pack(codes[:1], counts[:1]), D.pack(codes[1:], counts[1:])) == 0
+    b = blocks(spark, block("long", end_line=200), block("short", ordinal=2), block("text", end_line=None, ordinal=3, source_code="x\n" * 10), block("class", block_type="class", end_line=99, ordinal=4))
+    none = spark.createDataFrame([(0,)], "dup_n long")
+    counted = b.select("item_id", "block_type", A.line_count().alias("line_count"))
+    assert A.health_score(counted, edges(spark), none).first() == A.health_score(b, edges(spark), none).first() and A.health_score(counted, edges(spark), none).first()["long_n"] == 2
+
+
 def test_duplicate_places_and_repeats(spark):
     words = [f"w{i:03d}" for i in range(60)]
     near, far = [*words[:55], *(f"x{i}" for i in range(5))], [*words[:48], *(f"y{i}" for i in range(12))]  # 55 / 65, 48 / 72
